@@ -29,5 +29,6 @@ def plain(c: Column) -> Column:
 
 
 def is_filler(c: Column) -> Column:
-    """True for null, blank and filler values."""
-    return F.coalesce(plain(c).isin(*FILLERS), F.lit(True))
+    """True for null, blank and filler values, and for values without a letter or digit."""
+    p = plain(c)
+    return F.coalesce(p.isin(*FILLERS) | ~p.rlike(r"[\p{L}\p{N}]"), F.lit(True))
