@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reefglass.llm import value_mapping
+from reefglass.llm import survivors, value_mapping
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": value_mapping.p1_found,
         "p1_unmatched": value_mapping.p1_unmatched,
+        "p2_found": survivors.p2_found,
+        "p2_kept_values": survivors.p2_kept_values,
     }
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefglass.functions.text import ASCII_DIGITS, FILLERS, OTHER_DIGITS, plain
-from reefglass.operators.spec_keys import of_live_documents, resolve_keys
+from reefglass.operators.spec_keys import Registry, of_live_documents, resolve_keys
 from reefglass.sources.tables import read_table
 
 MAX_ENTRIES = 100_000
@@ -220,12 +220,10 @@ class ListIndex:
         return best
 
 
-def free_values(spark: SparkSession, data_dir: str) -> DataFrame:
+def free_values(spark: SparkSession, data_dir: str, registry: Registry, listed: set[str]) -> DataFrame:
     """(spec_id, document_id, spec_key, value_text) of the rows whose attribute has a list and whose value is not blank."""
-    registry = read_table(spark, data_dir, "spec_key")
-    lists = read_table(spark, data_dir, "ref_value", "spec_key").distinct()
     specs = read_table(spark, data_dir, "document_spec", "spec_id", "document_id", "key_id", "key_raw", "value_text")
-    rows = resolve_keys(spark, specs, registry).join(F.broadcast(lists), "spec_key", "left_semi")
+    rows = resolve_keys(spark, specs, registry).where(F.col("spec_key").isin(*listed))
     return rows.where(plain(F.col("value_text")) != "").select("spec_id", "document_id", "spec_key", "value_text")
 
 
@@ -263,12 +261,13 @@ def mapped(spark: SparkSession, data_dir: str) -> DataFrame:
     # both tables have a fixed, small number of rows
     entries = [(r.spec_key, r.ref_id, r.value_en, r.value_dv) for r in read_table(spark, data_dir, "ref_value").collect()]
     aliases = {}
-    for r in read_table(spark, data_dir, "spec_key", "spec_key", "value_aliases").collect():
+    registry = Registry.load(spark, data_dir)
+    for r in registry.attributes:
         try:
             aliases[r.spec_key] = {str(k): str(v) for k, v in json.loads(r.value_aliases or "{}").items()}
         except ValueError:
             aliases[r.spec_key] = {}
-    return map_values(free_values(spark, data_dir), entries, aliases)
+    return map_values(free_values(spark, data_dir, registry, {e[0] for e in entries}), entries, aliases)
 
 
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
