@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from reefglass.functions.text import ASCII_DIGITS, OTHER_DIGITS, ZERO_WIDTH, plain
-from reefglass.sources.tables import local_table
 
 #: Spellings of the units, after ``unit_key`` (lower case, letters, marks, digits and degree signs only).
 UNIT_SPELLINGS = {
@@ -58,18 +57,23 @@ def unit_key(c: Column) -> Column:
     return F.regexp_replace(c, r"""[^\p{L}\p{M}\p{N}°℃℉"'”″′]+""", "")
 
 
-def unit_spellings(spark: SparkSession, registry: DataFrame | None = None) -> DataFrame:
-    """(spelling, unit_code): the fixed spellings, and the aliases of the registry's common units.
+def unit_form(text: str) -> str:
+    """``unit_key`` of a Python string."""
+    return "".join(ch for ch in text.lower() if ch.isalnum() or "\u07a6" <= ch <= "\u07b0" or ch in "°℃℉'\"’”″′²³")
 
-    The registry is a table of a fixed, small number of rows; with it the result stays broadcastable.
-    """
-    rows = [(s, code) for code, all_ in UNIT_SPELLINGS.items() for s in all_]
-    fixed = local_table(spark, rows, spelling="string", unit_code="string")
-    if registry is None:
-        return fixed
-    own = registry.where("unit_code is not null").select("unit_code", F.explode(F.concat(F.coalesce("unit_aliases", F.array().cast("array<string>")), F.array("unit"))).alias("u"))
-    own = own.select(unit_key(F.col("u")).alias("spelling"), "unit_code").where("spelling <> ''")
-    return fixed.unionByName(own).dropDuplicates(["spelling", "unit_code"])
+
+def spelling_codes(attributes: list) -> dict[str, set[str]]:
+    """unit key -> unit codes: the fixed spellings, and the registry's aliases of its common units."""
+    found: dict[str, set[str]] = {}
+    for code, spellings in UNIT_SPELLINGS.items():
+        for s in spellings:
+            found.setdefault(s, set()).add(code)
+    for a in attributes:
+        if a.unit_code:
+            for s in (*(a.unit_aliases or ()), a.unit):
+                if s and unit_form(s):
+                    found.setdefault(unit_form(s), set()).add(a.unit_code)
+    return found
 
 
 def number_text(c: Column) -> Column:

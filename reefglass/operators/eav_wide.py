@@ -18,16 +18,15 @@ from pyspark.sql import types as T
 
 from reefglass.functions import units as U
 from reefglass.functions.text import is_filler
-from reefglass.operators.spec_keys import of_live_documents, resolve_keys
+from reefglass.operators.spec_keys import Registry, of_live_documents, resolve_keys
 from reefglass.sources.tables import read_table
 
 BUCKET_CELLS = 200_000
 _TYPES = {"numeric": T.DoubleType(), "bool": T.BooleanType(), "enum": T.StringType()}
 
 
-def typed_cells(spark: SparkSession, data_dir: str) -> DataFrame:
+def typed_cells(spark: SparkSession, data_dir: str, registry: Registry) -> DataFrame:
     """(document_id, spec_key, num, text): the cell's value, latest extraction first, ties to the higher spec_id."""
-    registry = read_table(spark, data_dir, "spec_key")
     specs = read_table(spark, data_dir, "document_spec", "spec_id", "document_id", "key_id", "key_raw", "value_num", "value_text", "extracted_at")
     rows = resolve_keys(spark, specs, registry)
     num = U.finite(F.col("value_num"))
@@ -90,10 +89,9 @@ def widen(cells: DataFrame, registry_rows: list, buckets: int) -> DataFrame:
 
 def wide_table(spark: SparkSession, data_dir: str) -> DataFrame:
     """One row per live search_document that has at least one readable attribute."""
-    # the registry is a table of a fixed, small number of rows: its names make the schema
-    registry = {r.spec_key: r for r in read_table(spark, data_dir, "spec_key", "key_id", "spec_key", "datatype").orderBy("key_id").collect()}
+    registry = Registry.load(spark, data_dir)
     rows = spark.read.parquet(f"{data_dir}/document_spec.parquet").count()  # from the footers
-    return widen(typed_cells(spark, data_dir), list(registry.values()), max(8, -(-rows // BUCKET_CELLS)))
+    return widen(typed_cells(spark, data_dir, registry), registry.attributes, max(8, -(-rows // BUCKET_CELLS)))
 
 
 def p5_wide(spark: SparkSession, data_dir: str) -> DataFrame:

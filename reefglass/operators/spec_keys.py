@@ -3,18 +3,22 @@
 ``key_raw`` may be the registry key, a label, a synonym, a misspelling, and may carry a unit
 ("Weight [kg]", "Length_in", "holds in ml"). Half of the rows also carry the registry's id, so the
 synonyms are learned from the table itself: every normalised key gets the id most of its rows name.
-The vote is one aggregation with map-side combine; its result has one row per distinct normalised
-key. It is broadcast only up to ``MAX_BROADCAST_KEYS`` rows; beyond that it is joined by a salted
-shuffle, so that one key holding a third of all rows does not end in one task.
+The vote is one aggregation with map-side combine over two columns; its result has one row per
+distinct normalised key. Up to ``MAX_BROADCAST_KEYS`` of them it is broadcast; beyond that it is
+joined by a salted shuffle, so that one key holding a third of all rows does not end in one task.
+The registry itself is a table of a fixed, small number of rows; it becomes map literals.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefglass.functions.text import plain
-from reefglass.functions.units import unit_key, unit_spellings
+from reefglass.functions.units import spelling_codes, unit_key
+from reefglass.sources.tables import local_table, read_table
 
 MAX_BROADCAST_KEYS = 20_000
 SALTS = 16
@@ -27,53 +31,86 @@ def key_form(c: Column) -> Column:
     return F.regexp_replace(plain(c), r"[^\p{L}\p{M}\p{N}]+", "")
 
 
-def with_key_parts(df: DataFrame, spark: SparkSession, registry: DataFrame) -> DataFrame:
+def lookup(table: dict, key: Column) -> Column:
+    """The value of a small fixed table, null for other keys."""
+    if not table:
+        return F.lit(None).cast("string")
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+
+
+@dataclass
+class Registry:
+    """The attributes and units on the driver: both tables have a fixed, small number of rows."""
+
+    attributes: list = field(default_factory=list)
+    units: dict = field(default_factory=dict)  # unit_code -> (quantity, factor, offset)
+    spellings: dict = field(default_factory=dict)  # unit key -> set of unit codes
+
+    @classmethod
+    def load(cls, spark: SparkSession, data_dir: str) -> Registry:
+        cols = ("key_id", "spec_key", "label_en", "label_dv", "datatype", "unit", "unit_code", "unit_aliases", "value_aliases")
+        rows = {r.spec_key: r for r in read_table(spark, data_dir, "spec_key", *cols).collect() if r.spec_key}
+        attributes = sorted(rows.values(), key=lambda r: r.key_id)
+        units = {r.unit_code: (r.quantity, r.to_common_factor, r.to_common_offset) for r in read_table(spark, data_dir, "unit_code").collect()}
+        return cls(attributes, units, spelling_codes(attributes))
+
+    def scoped_units(self) -> dict[str, str]:
+        """'quantity|spelling' -> unit code."""
+        return {f"{self.units[c][0]}|{s}": c for s, codes in self.spellings.items() for c in sorted(codes) if c in self.units}
+
+    @property
+    def quantities(self) -> dict[str, str]:
+        """spec_key -> quantity of its common unit."""
+        return {a.spec_key: self.units[a.unit_code][0] for a in self.attributes if a.unit_code in self.units}
+
+
+def with_key_parts(df: DataFrame, registry: Registry) -> DataFrame:
     """Adds key_form (without a unit suffix) and key_unit (the suffix as a unit key, or null)."""
-    spell = unit_spellings(spark, registry).select(F.col("spelling").alias("_sp")).distinct()
-    df = df.withColumn("_suffix", unit_key(F.regexp_extract(F.col("key_raw"), _SUFFIX, 2)))
-    df = df.join(F.broadcast(spell), F.col("_suffix") == F.col("_sp"), "left")  # a fixed table of unit spellings
-    has = F.col("_sp").isNotNull()
+    df = df.withColumn("_suffix", unit_key(F.regexp_extract("key_raw", _SUFFIX, 2)))
+    has = F.col("_suffix").isin(*registry.spellings)
     return (
-        df.withColumn("key_form", key_form(F.when(has, F.regexp_extract(F.col("key_raw"), _SUFFIX, 1)).otherwise(F.col("key_raw"))))
+        df.withColumn("key_form", key_form(F.when(has, F.regexp_extract("key_raw", _SUFFIX, 1)).otherwise(F.col("key_raw"))))
         .withColumn("key_unit", F.when(has, F.col("_suffix")))
-        .drop("_suffix", "_sp")
+        .drop("_suffix")
     )
 
 
-def key_votes(parts: DataFrame, registry: DataFrame) -> DataFrame:
-    """One row per key_form that some row ties to a registry key: (vote_form, vote_key)."""
-    seen = parts.where(F.col("key_id").isNotNull()).groupBy("key_form", "key_id").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.join(F.broadcast(registry.select("key_id", "spec_key")), "key_id").select("key_form", "spec_key", "n")
-    weight = F.lit(1 << 40).cast("long")  # the registry's own names always win
-    own = registry.select(F.explode(F.array("spec_key", "label_en", "label_dv")).alias("name"), "spec_key")
-    own = own.select(key_form(F.col("name")).alias("key_form"), "spec_key", weight.alias("n")).where("key_form <> ''")
-    return (
-        seen.unionByName(own)
-        .groupBy("key_form")
-        .agg(F.max_by("spec_key", F.struct("n", "spec_key")).alias("vote_key"))
-        .withColumnRenamed("key_form", "vote_form")
-    )
+def key_votes(specs: DataFrame, registry: Registry) -> DataFrame:
+    """(vote_form, vote_id): for every key form that some row ties to a registry id, the id most rows name.
+
+    Rows are counted per key as typed before keys are normalised, so normalising costs one step per distinct key.
+    """
+    typed = specs.where("key_id is not null").groupBy("key_raw", "key_id").agg(F.count(F.lit(1)).alias("n"))
+    seen = with_key_parts(typed, registry).groupBy("key_form", "key_id").agg(F.sum("n").alias("n"))
+    return seen.where("key_form is not null").groupBy("key_form").agg(F.max_by("key_id", F.struct("n", -F.col("key_id"))).alias("vote_id")).withColumnRenamed("key_form", "vote_form")
 
 
-def resolve_keys(spark: SparkSession, specs: DataFrame, registry: DataFrame) -> DataFrame:
+def resolve_keys(spark: SparkSession, specs: DataFrame, registry: Registry) -> DataFrame:
     """specs plus spec_key, datatype, unit_code, key_unit; rows of no registry attribute are dropped.
 
-    A row's own key_id counts first, then the vote for its key. Null keys without an id are dropped.
+    A row's own key_id counts first, then the registry's own names, then the vote for its key.
     """
-    registry = registry.dropDuplicates(["key_id"])
-    parts = with_key_parts(specs, spark, registry)
-    votes = key_votes(with_key_parts(specs.select("key_raw", "key_id"), spark, registry), registry)
-    if votes.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
-        joined = parts.join(F.broadcast(votes), F.col("key_form") == F.col("vote_form"), "left")
+    parts = with_key_parts(specs, registry)
+    votes = key_votes(specs.select("key_raw", "key_id"), registry)
+    head = votes.limit(MAX_BROADCAST_KEYS + 1).collect()
+    if len(head) <= MAX_BROADCAST_KEYS:
+        small = local_table(spark, [(r.vote_form, r.vote_id) for r in head], vote_form="string", vote_id="int64")
+        joined = parts.join(F.broadcast(small), F.col("key_form") == F.col("vote_form"), "left")
     else:
-        salted = votes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        parts = parts.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in ("spec_id", "document_id") if c in parts.columns]), F.lit(SALTS)).cast("int"))
-        joined = parts.join(salted, (F.col("key_form") == F.col("vote_form")) & (parts["_salt"] == salted["_salt"]), "left").drop("_salt")
-    dims = registry.select(F.col("key_id").alias("_kid"), F.col("spec_key").alias("_own"))
-    joined = joined.join(F.broadcast(dims), F.col("key_id") == F.col("_kid"), "left")
-    joined = joined.withColumn("spec_key", F.coalesce("_own", "vote_key")).where("spec_key is not null")
-    kinds = registry.select("spec_key", "datatype", "unit_code").dropDuplicates(["spec_key"])
-    return joined.join(F.broadcast(kinds), "spec_key").drop("_kid", "_own", "vote_form", "vote_key", "key_form")
+        salted = votes.withColumn("_vsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parts = parts.withColumn("_salt", F.pmod(F.xxhash64("spec_id"), F.lit(SALTS)).cast("int"))
+        joined = parts.join(salted, (F.col("key_form") == F.col("vote_form")) & (F.col("_salt") == F.col("_vsalt")), "left").drop("_salt", "_vsalt")
+    ids = {a.key_id: a.spec_key for a in registry.attributes}
+    own = {}
+    for a in registry.attributes:
+        for name in (a.spec_key, a.label_en, a.label_dv):
+            form = "".join(ch for ch in (name or "").lower() if ch.isalnum() or "ަ" <= ch <= "ް")
+            own.setdefault(form, a.spec_key)
+    joined = joined.withColumn("spec_key", F.coalesce(lookup(ids, F.col("key_id")), lookup(own, F.col("key_form")), lookup(ids, F.col("vote_id"))))
+    joined = joined.where("spec_key is not null").drop("key_form", "vote_form", "vote_id")
+    kinds = {a.spec_key: a.datatype for a in registry.attributes}
+    codes = {a.spec_key: a.unit_code for a in registry.attributes if a.unit_code in registry.units}
+    return joined.withColumn("datatype", lookup(kinds, F.col("spec_key"))).withColumn("unit_code", lookup(codes, F.col("spec_key")))
 
 
 def of_live_documents(df: DataFrame, documents: DataFrame, *columns: str) -> DataFrame:
