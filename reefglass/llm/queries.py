@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reefglass.llm import survivors, text_stats, value_mapping
+from reefglass.llm import language_id, survivors, text_stats, value_mapping
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_unmatched": value_mapping.p1_unmatched,
         "p2_found": survivors.p2_found,
         "p2_kept_values": survivors.p2_kept_values,
+        "p3_found": language_id.p3_found,
+        "p3_segments": language_id.p3_segments,
         "p9_found": text_stats.p9_found,
         "p9_statistics": text_stats.p9_statistics,
     }
