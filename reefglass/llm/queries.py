@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reefglass.llm import language_id, survivors, text_stats, value_mapping
+from reefglass.llm import language_id, survivors, text_stats, truncation, value_mapping
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_kept_values": survivors.p2_kept_values,
         "p3_found": language_id.p3_found,
         "p3_segments": language_id.p3_segments,
+        "p4_found": truncation.p4_found,
+        "p4_cut_share": truncation.p4_cut_share,
         "p9_found": text_stats.p9_found,
         "p9_statistics": text_stats.p9_statistics,
     }
