@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reefglass.operators import eav_wide, units
+from reefglass.plans import search_queries as _search  # noqa: F401
+from reefglass.plans.registry import QUERIES, SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        **QUERIES,
         "p5_found": eav_wide.p5_found,
         "p5_wide": eav_wide.p5_wide,
         "p6_found": units.p6_found,
@@ -19,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
