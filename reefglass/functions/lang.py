@@ -79,10 +79,14 @@ def detect_script(c: Column) -> Column:
     )
 
 
+def _count_of(values: Column, x: str) -> Column:
+    return F.size(F.filter(values, lambda t: t == x))
+
+
 def query_script(c: Column) -> Column:
     """Dominant label of a query: any Thaana wins, else the commonest label, not English on ties."""
     labels = F.transform(tokens(c), detect_script)
-    n = {x: F.size(F.filter(labels, lambda t, x=x: t == x)) for x in ("dv", "keys", "dv-Latn", "en")}
+    n = {x: _count_of(labels, x) for x in ("dv", "keys", "dv-Latn", "en")}
     return F.when(n["dv"] > 0, "dv").when((n["keys"] > 0) & (n["keys"] >= n["dv-Latn"]) & (n["keys"] >= n["en"]), "keys").when((n["dv-Latn"] > 0) & (n["dv-Latn"] >= n["en"]), "dv-Latn").otherwise("en")
 
 
@@ -122,7 +126,7 @@ def summarize(c: Column, limit: int = 240) -> Column:
 def split_multivalue(c: Column) -> Column:
     """Values between commas, slashes, bars and the words or, and."""
     parts = F.split(F.coalesce(c, F.lit("")), r"(?i)\s*(?:,|/|\||\bor\b|\band\b)\s*")
-    return F.filter(F.transform(parts, F.trim), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
 def normalize_for_match(c: Column) -> Column:

@@ -42,6 +42,10 @@ def histogram(docs: DataFrame, value: Column, buckets: int = 10) -> DataFrame:
     return frame.join(counted, "bucket", "left").select("bucket", F.round(F.col("lo") + width * (F.col("bucket") - 1), 6).alias("lo"), F.round(F.col("lo") + width * F.col("bucket"), 6).alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _labelled(values: Column, f: Facet) -> Column:
+    return F.transform(values, lambda v: F.struct(F.lit(f.key).alias("key"), F.lit(f.top).alias("top"), v.alias("value")))
+
+
 def static_facets(docs: DataFrame, facets: tuple[Facet, ...], as_of: Column) -> DataFrame:
     """(key, value, n) of all checkbox facets of a tab in one pass: each row is unpivoted once and counted with map-side combine."""
     entries = []
@@ -54,7 +58,7 @@ def static_facets(docs: DataFrame, facets: tuple[Facet, ...], as_of: Column) ->
             values = json_array(f.path)
         else:
             values = F.array((F.col(f.path) if f.store == "column" else json_scalar(f.path)).cast("string"))
-        entries.append(F.transform(values, lambda v, f=f: F.struct(F.lit(f.key).alias("key"), F.lit(f.top).alias("top"), v.alias("value"))))
+        entries.append(_labelled(values, f))
     long = docs.select(F.inline(F.concat(*entries))).where("value is not null and value <> ''")
     counted = long.groupBy("key", "top", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("key").orderBy(F.desc("n"), "value")
