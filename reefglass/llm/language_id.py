@@ -244,21 +244,18 @@ def segments(codes: list[int], sure: list[float] | None = None, min_run: int = M
             runs.append([c, 1, sure[j] if sure else 1.0])
     if garbled:  # only long clean stretches count as readable
         runs = [r for r in runs if r[0] != BROKEN and r[1] >= 8]
-    while True:
-        short = [r for r in runs if r[1] < min_run]
-        if not short:
-            break
-        least = min(r[1] for r in short)
-        k = next(i for i, r in enumerate(runs) if r[1] == least)
-        gone = runs.pop(k)
-        if not runs:
-            # nothing but short runs: the text is in the language of most of its words
-            return []
+    total = Counter()
+    for c, n, _ in runs:
+        total[c] += n
+    while any(r[1] < min_run for r in runs):
+        # the shortest run goes first; of equals, that of the rarer language
+        k = min(range(len(runs)), key=lambda i: (runs[i][1], total[runs[i][0]], i))
+        total[runs[k][0]] -= runs[k][1]
+        runs.pop(k)
         if 0 < k < len(runs) and runs[k - 1][0] == runs[k][0]:
             runs[k - 1][1] += runs[k][1]
             runs[k - 1][2] += runs[k][2]
             runs.pop(k)
-        del gone
     return [(c, n, s / n) for c, n, s in runs]
 
 

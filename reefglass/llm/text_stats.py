@@ -10,7 +10,7 @@
    decided from the flagged statistics, each with an absolute floor so that a language of junk only
    does not become its own norm.
 
-Defined results: null, empty and blank texts have zero statistics and are junk ("empty"); repeated
+Defined results: rows without an id give nothing; null, empty and blank texts have zero statistics and are junk ("empty"); repeated
 rows give one row; very long texts are read whole; an empty table gives no rows.
 """
 
@@ -153,7 +153,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    rows = docs.select("doc_id", F.coalesce(language_label(F.col("lang")), F.lit("und")).alias("lang"), "text")
+    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce(language_label(F.col("lang")), F.lit("und")).alias("lang"), "text")
     schema = "doc_id long, lang string, " + ", ".join(f"{x} double" for x in names)
     return rows.mapInPandas(run, schema).dropDuplicates(["doc_id"])
 
