@@ -224,13 +224,13 @@ def retention_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "events", "ts").agg(F.count_if(F.col("ts").cast("date") < cut).alias("dropped"), F.count_if(F.col("ts").cast("date") >= cut).alias("kept"))
 
 
-@query("freshness", f"with d as (select distinct id, doc_type, published_at from search_document) select id, round(coalesce(exp(-ln(2.0) * (({AS_OF_US} - epoch_us(published_at)) / 86400e6) / case doc_type when 'news' then 7.0 when 'job' then 14.0 when 'property' then 45.0 else 30.0 end), 0.0), 6) as freshness from d")
+@query("freshness", f"with d as (select distinct id, doc_type, published_at from search_document) select id, round(log10(nullif(coalesce(exp(-ln(2.0) * (({AS_OF_US} - epoch_us(published_at)) / 86400e6) / case doc_type when 'news' then 7.0 when 'job' then 14.0 when 'property' then 45.0 else 30.0 end), 0.0), 0.0)), 6) as log_freshness from d")
 def freshness(spark: SparkSession, d: str) -> DataFrame:
     from reefglass import config
 
     as_of = F.lit(AS_OF).cast("timestamp")
     docs = _docs(spark, d, "doc_type", "published_at")
-    return docs.select("id", F.round(scoring.freshness(F.col("published_at"), F.col("doc_type"), as_of, config.Ranking()), 6).alias("freshness"))
+    return docs.select("id", F.round(F.log10(F.nullif(scoring.freshness(F.col("published_at"), F.col("doc_type"), as_of, config.Ranking()), F.lit(0.0))), 6).alias("log_freshness"))
 
 
 @query("content_hash", f"with {_I} select iulaan_id, sha256(coalesce(title, '') || coalesce(body, '')) as hash from i")
