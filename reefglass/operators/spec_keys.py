@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from reefglass.functions.text import plain
 from reefglass.functions.units import spelling_codes, unit_key
+from reefglass.operators.skew import salted_join
 from reefglass.sources.tables import local_table, read_table
 
 MAX_BROADCAST_KEYS = 20_000
@@ -116,9 +117,11 @@ def resolve_keys(spark: SparkSession, specs: DataFrame, registry: Registry) -> D
 def of_live_documents(df: DataFrame, documents: DataFrame, *columns: str) -> DataFrame:
     """Rows whose document_id is in search_document; with columns, those of the document are added.
 
-    The documents are reduced to one row per id before the join (rows may be delivered twice).
+    The documents are reduced to one row per id before the join (rows may be delivered twice). With
+    columns, df needs a spec_id: a document with very many rows is spread by it.
     """
     docs = documents.select(F.col("id").alias("document_id"), *columns)
     if not columns:
         return df.join(docs, "document_id", "left_semi")
-    return df.join(docs.groupBy("document_id").agg(*[F.min(c).alias(c) for c in columns]), "document_id")
+    unique = docs.groupBy("document_id").agg(*[F.min(c).alias(c) for c in columns])
+    return salted_join(df, unique, ["document_id"], F.col("spec_id"), "inner", 4)
