@@ -64,7 +64,7 @@ _SEPARATORS = re.compile(r"[^a-z0-9ހ-޿؀-ۿ]+")
 
 def normalise(value: str) -> str:
     """Case, width, accents, look-alike letters, zero-width and odd blanks evened out."""
-    v = unicodedata.normalize("NFKC", value).translate(_DIGITS).casefold()
+    v = re.sub(r"(?<=[a-z])I(?=[a-z]|\b)", "l", unicodedata.normalize("NFKC", value).translate(_DIGITS)).casefold()
     v = "".join(c for c in unicodedata.normalize("NFD", v) if not "̀" <= c <= "ͯ" and unicodedata.category(c) != "Cf")
     return v.translate(_LOOKALIKES).strip()
 
