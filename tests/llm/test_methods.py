@@ -187,6 +187,15 @@ def test_near_copies_equal_brute_force(spark):
     assert len(got) >= 0.95 * len(want)
 
 
+def test_copies_make_no_limit(spark):
+    rows = [("summary_en", f"Text number {i} is whole and ends with a stop here.") for i in range(300)] + [("summary_en", "The same text without a stop in very many rows")] * 200
+    _, limits = truncation.field_profile(spark.createDataFrame(rows, "field_name string, text string"))
+    assert not limits
+    cut_at_40 = [("summary_en", f"{i:03d} this text goes on until its field ends and more"[:40]) for i in range(60)]
+    _, limits = truncation.field_profile(spark.createDataFrame(rows + cut_at_40, "field_name string, text string"))
+    assert limits == {"summary_en": {40}}
+
+
 def test_terminality_finds_cuts(spark, tmp_path):
     rng = random.Random(8)
     ends = ["before any payment is released", "once the deposit has been received", "when all documents are complete"]
