@@ -187,6 +187,15 @@ def test_near_copies_equal_brute_force(spark):
     assert len(got) >= 0.95 * len(want)
 
 
+def test_near_copies_of_every_text_of_a_form(spark):
+    """Texts that differ in closing marks share their continuations, and one too long hides none behind it."""
+    x = "the old pier on the north side of the island was closed for repairs and will stay so until the end of the month"
+    y = "visitors of the library are asked to hand in their cards at the desk before they go into the reading room upstairs"
+    texts = [x, f"{x}.", f"{x} ", f"{x} of may", y, f"{y} and then {' '.join(f'a{i}' for i in range(40))}", f"{y} today"]
+    got = {r.text for r in truncation.early_ends(spark.createDataFrame([("f", t) for t in texts], "field_name string, text string")).collect()}
+    assert got == {x, f"{x}.", f"{x} ", y}
+
+
 def test_copies_make_no_limit(spark):
     rows = [("summary_en", f"Text number {i} is whole and ends with a stop here.") for i in range(300)] + [("summary_en", "The same text without a stop in very many rows")] * 200
     _, limits = truncation.field_profile(spark.createDataFrame(rows, "field_name string, text string"))
