@@ -226,6 +226,27 @@ def test_terminality_finds_cuts(spark, tmp_path):
     assert share.n_values == 600 and abs(share.share - 1 / 6) < 0.02
 
 
+def test_a_verified_early_end_is_a_cut(spark, tmp_path):
+    """Whatever the closing word: a text that a near-copy goes on from is cut, unless a sentence ends there."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, "a", " ".join([*rng.choices(words, k=12), "released"]) + "." * (i % 4 > 0), None) for i in range(300)]
+    x, y, z = (" ".join([*rng.choices(words, k=30), "released"]) for _ in range(3))
+    more = [("cut", x), ("", f"{x} to the winner."), ("", y), ("", f"{y}. Ref. 25"), ("", z), ("", f"{z}."), ("", f"{z} to the winner.")]
+    rows += [(1000 + i, "a", t, None) for i, (_, t) in enumerate(more)]
+    spark.createDataFrame(rows, "record_id long, source string, summary_en string, summary_dv string").write.parquet(str(tmp_path / "enriched_record.parquet"))
+    spark.createDataFrame([], "iulaan_id string, office_id int, translated_title string").write.parquet(str(tmp_path / "iulaan.parquet"))
+    assert {r.record_key for r in truncation.p4_found(spark, str(tmp_path)).collect()} == {"1000"}
+
+
+@pytest.mark.parametrize(
+    ("rest", "addition"),
+    [(" to the winner", False), ("nges", False), (".50", False), (",000", False), (". Ref. 25", True), (" (id 4471)", True), (", Fenelidhoo", True), (" and paint", True), ("؟ ދެން", True), (" android", False), ("-kept flat", False)],
+)
+def test_additions_after_an_end(rest, addition):
+    assert truncation.after_end(rest) == addition
+
+
 def test_lower_bound_never_exceeds_the_optimum():
     """Against exhaustive packing of small instances."""
 
