@@ -5,10 +5,12 @@
    share of well-formed tokens, shares of the characters in list, table and prose lines, repetition.
 2. Per language, every statistic goes into a mergeable KLL quantile sketch (partial sketches are
    built per partition and merged, nothing is gathered); the sketches give percentiles and robust
-   z-scores (median, quartiles). There is one sketch row per language label, a fixed set.
+   z-scores (median, quartiles). Percentiles are among all documents, z-scores are measured against
+   the plain ones: those that pass no floor, so that many lists or much junk of a language do not
+   become its norm. There is one sketch row per language label, a fixed set.
 3. A document is flagged where a statistic lies in the tail that speaks against prose; the kind is
-   decided from the flagged statistics, each with an absolute floor so that a language of junk only
-   does not become its own norm.
+   decided from the flagged statistics, each with an absolute floor. Where no document is plain, the
+   floors decide alone.
 
 Defined results: rows without an id give nothing; null, empty and blank texts have zero statistics and are junk ("empty"); repeated
 rows give one row; very long texts are read whole; an empty table gives no rows.
@@ -20,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -176,21 +179,36 @@ def _percentile(grid: str, x: str) -> Column:
 #: Smallest spread (as a standard deviation) that a statistic is measured against.
 SPREAD = {"well_formed_ratio": 0.05, "list_ratio": 0.05, "table_ratio": 0.05, "repeat_ratio": 0.05, "symbol_ratio": 0.02, "common_ratio": 0.05, "mean_word_length": 0.5, "line_end_ratio": 0.1}
 TAIL = 3.5
+#: Values that speak against prose.
+MIXED, BROKEN, GARBLED, REPEATED = 0.5, 0.6, 0.36, 0.45
+
+
+def _structured() -> Column:
+    return F.col("list_ratio") + F.col("table_ratio") > MIXED
+
+
+def plain(names: tuple[str, ...] = tuple(SPREAD)) -> Column:
+    """True for the documents that pass no floor of the named statistics."""
+    floors = {"list_ratio": _structured, "well_formed_ratio": lambda: F.col("well_formed_ratio") < BROKEN, "repeat_ratio": lambda: F.col("repeat_ratio") > REPEATED}
+    return reduce(lambda a, x: a & ~floors[x](), [x for x in floors if x in names], F.lit(True))
 
 
 def scored(stats: DataFrame, names: tuple[str, ...] = tuple(SPREAD)) -> DataFrame:
     """stats plus, per statistic x, its percentile pct_x and robust z-score z_x in its language, and za_x among all documents."""
-    own, merged = sketches(stats, names)
+    own, _ = sketches(stats, names)
+    usual, merged = sketches(stats.where(plain(names)), names)
 
     def centre(df: DataFrame, prefix: str, keep: list) -> DataFrame:
         cols = []
         for x in names:
+            some = F.kll_sketch_get_n_double(f"k_{x}") > 0
             spread = F.greatest((_quantile(f"k_{x}", 0.75) - _quantile(f"k_{x}", 0.25)) / 1.349, F.lit(SPREAD[x]))
-            cols += [_quantile(f"k_{x}", 0.5).alias(f"{prefix}m_{x}"), spread.alias(f"{prefix}s_{x}")]
+            cols += [F.when(some, _quantile(f"k_{x}", 0.5)).alias(f"{prefix}m_{x}"), F.when(some, spread).alias(f"{prefix}s_{x}")]
         return df.select(*keep, *cols)
 
     grid = F.array(*[F.lit(i / 100) for i in range(101)])
-    per_lang = centre(own, "o", ["lang", *[F.kll_sketch_get_quantile_double(F.col(f"k_{x}"), grid).alias(f"q_{x}") for x in names]])  # one row per language label
+    grids = own.select("lang", *[F.kll_sketch_get_quantile_double(F.col(f"k_{x}"), grid).alias(f"q_{x}") for x in names])
+    per_lang = grids.join(F.broadcast(centre(usual, "o", ["lang"])), "lang", "left")  # one row per language label
     every = centre(merged, "a", [])  # one row
     out = stats.join(F.broadcast(per_lang), "lang").join(F.broadcast(every.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
     return out.select(
@@ -210,15 +228,19 @@ def _low(x: str) -> Column:
 
 
 def kind() -> Column:
-    """prose, list, table or junk, from the flagged tails and their floors."""
-    garbled = _low("well_formed_ratio") & (F.col("well_formed_ratio") < 0.36)
-    structured = F.col("list_ratio") + F.col("table_ratio") > 0.5
-    repeated = _high("repeat_ratio") & (F.col("repeat_ratio") > 0.45)
+    """prose, list, table or junk, from the flagged tails and their floors; without plain documents the floors decide."""
+
+    def tail(flag: Column) -> Column:
+        return F.coalesce(flag, F.lit(True))
+
+    broken = tail(_low("well_formed_ratio"))
+    garbled = broken & (F.col("well_formed_ratio") < GARBLED)
+    repeated = tail(_high("repeat_ratio")) & (F.col("repeat_ratio") > REPEATED)
     return (
         F.when((F.col("n_words") == 0) | garbled | (F.col("repeat_ratio") == 1.0), "junk")
-        .when(structured & _high("table_ratio") & (F.col("table_ratio") > F.col("list_ratio")), "table")
-        .when(structured & _high("list_ratio"), "list")
-        .when(repeated | (_low("well_formed_ratio") & (F.col("well_formed_ratio") < 0.6)), "junk")
+        .when(_structured() & tail(_high("table_ratio")) & (F.col("table_ratio") > F.col("list_ratio")), "table")
+        .when(_structured() & tail(_high("list_ratio")), "list")
+        .when(repeated | (broken & (F.col("well_formed_ratio") < BROKEN)), "junk")
         .otherwise("prose")
     )
 

@@ -345,6 +345,20 @@ def test_kinds(spark, text, kind):
     assert got.k == kind
 
 
+@pytest.mark.parametrize("share", [1 / 3, 0.6, 1.0])
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [("An item\n- steel rods\n- paint drums\n- two keys", "list"), ("Item name\tQuantity\nsteel rods\t3\npaint drums\t12.50", "table"), ("¤■9%}/4\\>{}@■*$}^#75 >+■%§+@\\&@388", "junk"), ("office §x9 #4k }q2 *z1 council hours =%a", "junk")],
+)
+def test_many_of_a_kind_are_no_norm(spark, text, kind, share):
+    """A kind is told however many of a language's documents are of it, and the prose beside it stays prose."""
+    prose = "The price was lowered because the lease ends soon. Forms are available during office hours."
+    n = round(60 * share)
+    stats = text_stats.statistics(spark.createDataFrame([(i, text if i < n else prose, "en") for i in range(60)], "doc_id long, text string, lang string"))
+    got = text_stats.scored(stats).select("doc_id", text_stats.kind().alias("k")).collect()
+    assert all(r.k == (kind if r.doc_id < n else "prose") for r in got)
+
+
 def test_sketches_give_quantiles(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(5, 2, 20_000)
