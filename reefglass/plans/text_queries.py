@@ -146,10 +146,18 @@ u as (select spec_id, regexp_extract_all(' ' || t || ' ', '(?i)[^A-Za-z0-9]([0-9
 regexp_extract_all(' ' || t || ' ', '(?i)[^A-Za-z0-9][0-9]+(?:\.[0-9]+)?\s*(kwh|mah|ghz|mhz|sqft|inch|kw|gb|tb|mb|kg|ml|cm|mm|v|a|w|l)[^A-Za-z]', 1) as u from s)
 select spec_id, unnest(list_filter(list_transform(list_zip(n, u), lambda z: case when regexp_matches(z[1], '^20[0-9][0-9]$') then '' else z[1] || ' ' || lower(z[2]) end), lambda x: x <> '')) as quantity from u""")
 def extract_units(spark: SparkSession, d: str) -> DataFrame:
+    """What the SQL covers: the rows of nine keys only. extract_units_all is the whole column."""
     s = read_table(spark, d, "document_spec", "spec_id", "key_id", "value_text").where("key_id between 7 and 15").dropDuplicates(["spec_id"])
     return s.select("spec_id", F.explode(ex.units(F.col("value_text"))).alias("quantity"))
 
 
+@query("extract_units_all")
+def extract_units_all(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities of every value_text, whatever its key."""
+    s = read_table(spark, d, "document_spec", "spec_id", "value_text").dropDuplicates(["spec_id"])
+    return s.select("spec_id", F.explode(ex.units(F.col("value_text"))).alias("quantity"))
+
+
 @query("strip_phones", rf"""with {_T} select id, regexp_replace(regexp_replace(regexp_replace(coalesce(summary_en, ''), '(^|[^0-9])(?:\+?960[\s-]?)?(?:[79][0-9]{{6}}|[36][0-9]{{6}})([^0-9]|$)', '\1\2', 'g'), '[ \t]{{2,}}', ' ', 'g'), '^[\s,|/:&-]+|[\s,|/:&-]+$', '', 'g') as shown from d""")
 def strip_phones(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d, "summary_en").select("id", ex.strip_phones(F.col("summary_en")).alias("shown"))

@@ -94,3 +94,17 @@ def test_corpus_is_skewed_and_repeatable(spark):
     assert a.collect() == b.collect()
     top = a.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").count().orderBy(F.desc("count")).first()
     assert top.w == "word1" and top["count"] > 200 * 60 * 0.4
+
+
+def test_quantities_of_every_key(spark, data_dir):
+    """extract_units_all against a plain loop over all rows, those without a key included."""
+    import re
+
+    from reefglass.plans import catalog
+
+    unit = re.compile(r"(?<![A-Za-z0-9])([0-9]+(?:\.[0-9]+)?)\s*(kwh|mah|ghz|mhz|sqft|inch|kw|gb|tb|mb|kg|ml|cm|mm|v|a|w|l)(?![A-Za-z])", re.IGNORECASE | re.ASCII)
+    rows = {r.spec_id: r for r in spark.read.parquet(f"{data_dir}/document_spec.parquet").select("spec_id", "key_id", "value_text").collect()}
+    want = sorted((r.spec_id, f"{n} {u.lower()}") for r in rows.values() for n, u in unit.findall(r.value_text or "") if not re.fullmatch(r"20\d\d", n))
+    got = sorted(tuple(r) for r in catalog.queries()["extract_units_all"](spark, data_dir).collect())
+    assert got == want
+    assert any(rows[i].key_id is None for i, _ in got)
