@@ -114,8 +114,7 @@ def search_page_two(spark: SparkSession, d: str) -> DataFrame:
 
 @query("search_totals", f"{_BASE} select qid, least(count(*), 500)::bigint as total, count(*)::bigint as matches from f group by qid")
 def search_totals(spark: SparkSession, d: str) -> DataFrame:
-    cand = _simple(spark, d)
-    return cand.groupBy("qid").agg(F.least(F.count(F.lit(1)), F.lit(500)).cast("long").alias("total"), F.count(F.lit(1)).alias("matches"))
+    return _totals(_simple(spark, d))
 
 
 @query("search_empty", "select 1::integer as qid, 1::bigint as id where false")
@@ -127,11 +126,56 @@ def search_empty(spark: SparkSession, d: str) -> DataFrame:
 
 @query("score_breakdown", f"{_BASE} select qid, id, round(r_en, 6) as r_en, round(r_latin, 6) as r_latin, round(trg, 6) as trg, round({_FRESH}, 6) as fresh, case when epoch_us(expires_at) < {AS_OF_US} then true else false end as expired, score from f")
 def score_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    return _breakdown(_simple(spark, d), "r_en", "r_latin")
+
+
+def _breakdown(cand: DataFrame, *sides: str) -> DataFrame:
     from reefglass import config
 
     as_of = F.lit(AS_OF).cast("timestamp")
     fresh = scoring.freshness(F.col("published_at"), F.col("doc_type"), as_of, config.Ranking())
-    return _simple(spark, d).select("qid", "id", F.round("r_en", 6).alias("r_en"), F.round("r_latin", 6).alias("r_latin"), F.round("trg", 6).alias("trg"), F.round(fresh, 6).alias("fresh"), F.coalesce(F.col("expires_at") < as_of, F.lit(False)).alias("expired"), "score")
+    return cand.select("qid", "id", *[F.round(r, 6).alias(r) for r in sides], F.round("trg", 6).alias("trg"), F.round(fresh, 6).alias("fresh"), F.coalesce(F.col("expires_at") < as_of, F.lit(False)).alias("expired"), "score")
+
+
+def _whole(spark: SparkSession, d: str, where=None) -> DataFrame:
+    """Matches of queries in both scripts on all three sides, Thaana titles transliterated; the *_all queries have no SQL form."""
+    cand = s.scored_candidates(spark, d, QUERIES, AS_OF, where)
+    return cand.withColumn("views", flt.json_scalar("views").try_cast("double"))
+
+
+def _whole_page(sort: str, number: int = 1, where=None):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        top = s.page(s.top_candidates(_whole(spark, d, where() if where else None), sort), number, 20)
+        return top.select("qid", "id", "score", F.col("pos").cast("long").alias("pos"), F.col("total").cast("long").alias("total"))
+
+    return run
+
+
+for _name, _sort, _number, _where in (
+    ("relevance", "relevance", 1, None), ("newest", "newest", 1, None), ("price_asc", "price_asc", 1, None), ("price_desc", "price_desc", 1, None), ("json_number_desc", "views_desc", 1, None),
+    ("unknown_sort", "no such order", 1, None), ("doc_type_filter", "relevance", 1, lambda: F.col("doc_type") == "shopping"), ("page_two", "relevance", 2, None),
+):
+    query(f"search_{_name}_all")(_whole_page(_sort, _number, _where))
+
+
+def _totals(cand: DataFrame) -> DataFrame:
+    return cand.groupBy("qid").agg(F.least(F.count(F.lit(1)), F.lit(500)).cast("long").alias("total"), F.count(F.lit(1)).alias("matches"))
+
+
+@query("search_totals_all")
+def search_totals_all(spark: SparkSession, d: str) -> DataFrame:
+    return _totals(_whole(spark, d))
+
+
+@query("score_breakdown_all")
+def score_breakdown_all(spark: SparkSession, d: str) -> DataFrame:
+    return _breakdown(_whole(spark, d), "r_en", "r_dv", "r_latin")
+
+
+@query("recall_at_k_all")
+def recall_at_k_all(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each query's best lexical match, on whichever side, is among the first five."""
+    return _recall(_whole(spark, d), F.greatest("r_en", "r_dv", "r_latin"))
 
 
 @query("search_all_sides")
@@ -146,7 +190,7 @@ def search_all_sides(spark: SparkSession, d: str) -> DataFrame:
 @query("interleave_by_type")
 def interleave_by_type(spark: SparkSession, d: str) -> DataFrame:
     """The best 100 of each query with no kind running longer than three; greedy, so without SQL form."""
-    top = s.top_candidates(_simple(spark, d), cap=100)
+    top = s.top_candidates(_whole(spark, d), cap=100)
     return s.interleave(top.select("qid", "id", "doc_type", "score", "pos"), "doc_type").select("qid", "id", "doc_type", "slot")
 
 
@@ -219,8 +263,11 @@ e as (select qid, id from (select qid, id, row_number() over (partition by qid o
 select e.qid, count(*) filter (m.pos <= 5)::bigint as hits, count(*)::bigint as cases, round(avg(case when m.pos <= 5 then 1.0 else 0.0 end), 6) as recall from e join m using (qid, id) group by e.qid""")
 def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
     """Whether each query's best lexical match is among the first five."""
-    cand = _simple(spark, d)
-    expect = cand.groupBy("qid").agg(F.max_by("id", F.struct("r_en", "id")).alias("id"))
+    return _recall(_simple(spark, d), F.col("r_en"))
+
+
+def _recall(cand: DataFrame, lexical) -> DataFrame:
+    expect = cand.groupBy("qid").agg(F.max_by("id", F.struct(lexical, F.col("id"))).alias("id"))
     top = s.top_candidates(cand, cap=10_000_000).select("qid", "id", "pos")
     hit = (F.col("pos") <= 5).cast("double")
     return expect.join(top, ["qid", "id"]).groupBy("qid").agg(F.sum(hit).cast("long").alias("hits"), F.count(F.lit(1)).alias("cases"), F.round(F.avg(hit), 6).alias("recall"))

@@ -108,3 +108,46 @@ def test_quantities_of_every_key(spark, data_dir):
     got = sorted(tuple(r) for r in catalog.queries()["extract_units_all"](spark, data_dir).collect())
     assert got == want
     assert any(rows[i].key_id is None for i, _ in got)
+
+
+def test_search_over_all_sides_equals_brute_force(spark, data_dir):
+    """Ranks of every match on the three sides, its totals and its pages, by plain loops over the documents."""
+    import re
+    import unicodedata
+    from collections import defaultdict
+
+    from reefglass.functions import lang
+    from reefglass.operators import search
+    from reefglass.plans import catalog
+    from reefglass.plans.search_queries import QUERIES
+
+    def words(x):
+        x = "".join(" " if unicodedata.category(c)[0] not in "LMN" else c for c in re.sub("[\u200b\u200c\u200d\u2060\ufeff]", "", x or "").translate({0x660 + i: str(i) for i in range(10)}).lower())
+        return x.split()
+
+    read = dict(zip(lang.THAANA, ("" if r == "_" else r for r in lang.READINGS), strict=True))
+    bare = lambda w: re.sub("[\u07a6-\u07b0]", "", w)
+    docs = {r.id: r for r in search.documents(spark, data_dir).where("is_active").collect()}
+    terms = defaultdict(set)
+    for r in search.query_terms(spark, QUERIES).collect():
+        terms[r.qid].add((r.side, r.lex))
+    want = {}
+    for i, r in docs.items():
+        latin = r.title_latin if (r.title_latin or "").strip(" ") else "".join(read.get(c, c) for c in r.title_dv or "")
+        post = [("en", w, 1.0) for w in words(r.title_en)] + [("en", w, 0.4) for w in words(r.summary_en)] + [("latin", w, 1.0) for w in words(latin)]
+        post += [("dv", w, 1.0) for w in words(r.title_dv)] + [("dv", w, 0.4) for w in words(r.summary_dv)] + [("dv", bare(w), 0.2) for w in words(r.title_dv) + words(r.summary_dv) if bare(w)]
+        for q, own in terms.items():
+            hits = [(side, w) for side, lex, w in post if (side, lex) in own]
+            if hits:
+                want[q, i] = tuple(round(sum(w for x, w in hits if x == side), 6) for side in ("en", "dv", "latin"))
+    run = lambda name: catalog.queries()[name](spark, data_dir).collect()
+    parts = run("score_breakdown_all")
+    assert {(r.qid, r.id): (r.r_en, r.r_dv, r.r_latin) for r in parts} == want
+    assert any(r.r_dv for r in parts) and any(r.r_latin and not r.r_en for r in parts)
+    assert {r.qid: r.matches for r in run("search_totals_all")} == {q: sum(k[0] == q for k in want) for q in {k[0] for k in want}}
+    score = {(r.qid, r.id): r.score for r in parts}
+    best = {q: sorted((k for k in score if k[0] == q), key=lambda k: (-score[k], -k[1])) for q in terms}
+    newest = {q: sorted((k for k in score if k[0] == q), key=lambda k: (docs[k[1]].published_at is not None, docs[k[1]].published_at, k[1]) if docs[k[1]].published_at else (False, 0, k[1]), reverse=True) for q in terms}
+    for name, order, start in (("search_relevance_all", best, 0), ("search_page_two_all", best, 20), ("search_newest_all", newest, 0)):
+        assert {(r.qid, r.id): r.pos for r in run(name)} == {k: p for ks in order.values() for p, k in enumerate(ks, 1) if start < p <= start + 20}, name
+    assert {r.qid for r in run("interleave_by_type")} == {k[0] for k in want}
