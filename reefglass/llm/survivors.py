@@ -13,7 +13,7 @@ shuffle and is never gathered in one task. EM runs on the table of distinct coun
 checkpointed; per round, only sources x fields sums reach the driver.
 
 p2_found takes its rows from these claims and applies the exact rule of the task: the most recent row
-with a usable value (the posterior does not outvote recency there).
+with a usable value. It does not depend on the posterior, which rules no value out there.
 
 Defined results: null, blank or filler values and dummy phone numbers are not usable; groups whose
 key is null or empty, or with one id, give nothing; ties go to the higher id; empty tables give none.
@@ -32,7 +32,6 @@ from reefglass.sources.tables import read_table
 
 FIELDS = ("contact_phone", "title_dv", "summary_en", "island")
 KEEP = 0.5
-RULED_OUT = 1e-12
 ROUNDS = 6
 SALTS = 4
 
@@ -152,7 +151,6 @@ def judged_claims(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFr
 def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """(dedupe_key, field_name, id): the row that serves each field of the group best."""
     shared, judged = judged_claims(spark, data_dir)
-    judged = judged.where(F.col("posterior") > RULED_OUT)
     best = judged.groupBy("k1", "k2").agg(*[F.max(F.when(F.col("field_name") == f, F.col("latest"))).alias(f"l_{f}") for f in FIELDS])
     groups = shared.withColumnRenamed("record", "l_record").join(best, ["k1", "k2"], "left")
     picks = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"l_{f}.id").alias("id")) for f in ("record", *FIELDS)])

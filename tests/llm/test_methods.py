@@ -10,6 +10,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from reefglass.llm import language_id as li
 from reefglass.llm import mixing, packing, survivors, text_stats, tokens, truncation
@@ -91,6 +92,15 @@ def test_survivors_against_brute_force(spark, tmp_path):
     assert all(0.5 <= r.posterior <= 1 for r in kept)
 
 
+def test_recency_alone_decides_found_rows(spark, tmp_path, monkeypatch):
+    """No posterior, however low, takes a row from p2_found."""
+    t = dt.datetime(2024, 1, 1)
+    _docs(spark, [(i, "gazette", "a", t + dt.timedelta(days=i), t + dt.timedelta(days=9), "5551234", f"text {i}", "text", "Male") for i in range(3)]).write.parquet(str(tmp_path / "search_document.parquet"))
+    spark.createDataFrame([("gazette",)], "source string").write.parquet(str(tmp_path / "doc_source.parquet"))
+    monkeypatch.setattr(survivors, "_posterior", lambda *_: F.lit(0.0))
+    assert {tuple(r) for r in survivors.p2_found(spark, str(tmp_path)).collect()} == {("a", f, 2) for f in ("record", "contact_phone", "title_dv", "summary_en", "island")}
+
+
 def test_truth_model_trusts_the_source_that_agrees(spark):
     """EM: values stated by a source that others confirm come out likelier than those of one that they contradict."""
     rows = []
