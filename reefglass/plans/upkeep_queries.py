@@ -195,6 +195,15 @@ def seen_page_streak(spark: SparkSession, d: str) -> DataFrame:
     return ops.longest_seen_run(pages).select(F.col("group").alias("user_id"), "streak")
 
 
+@query("seen_page_streak_gaps")
+def seen_page_streak_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """As seen_page_streak, but pages are numbered before the failed ones go, so a crawl ends at its first missing page."""
+    e = read_table(spark, d, "events", "event_id", "user_id", "event_type", "value")
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
+    pages = e.withColumn("page", number).where("value >= 2").select(F.col("user_id").alias("group"), "page", F.col("event_type").isin("view", "click").alias("seen"))
+    return ops.longest_seen_run(pages).select(F.col("group").alias("user_id"), "streak")
+
+
 @query("report_sibling_counts", "with r as (select event_id, user_id, ts from events where event_type = 'error'), c as (select user_id, count(*)::bigint as siblings from r group by 1) select event_id, siblings from r join c using (user_id)")
 def report_sibling_counts(spark: SparkSession, d: str) -> DataFrame:
     r = read_table(spark, d, "events", "event_id", "user_id", "event_type").where("event_type = 'error'")

@@ -151,3 +151,12 @@ def test_search_over_all_sides_equals_brute_force(spark, data_dir):
     for name, order, start in (("search_relevance_all", best, 0), ("search_page_two_all", best, 20), ("search_newest_all", newest, 0)):
         assert {(r.qid, r.id): r.pos for r in run(name)} == {k: p for ks in order.values() for p, k in enumerate(ks, 1) if start < p <= start + 20}, name
     assert {r.qid for r in run("interleave_by_type")} == {k[0] for k in want}
+
+
+def test_streaks_end_at_the_first_failed_page(spark, tmp_path):
+    from reefglass.plans import catalog
+
+    rows = [(1, 7, "view", 5.0), (2, 7, "click", 5.0), (3, 7, "view", 1.0), *[(i, 7, "view", 5.0) for i in range(4, 9)], (9, 8, "view", 0.0), (10, 8, "view", 5.0), (11, 9, "error", 5.0), (12, 9, "view", 5.0)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: r.streak for r in catalog.queries()["seen_page_streak_gaps"](spark, str(tmp_path)).collect()}
+    assert got == {7: 2, 9: 1}
