@@ -344,7 +344,13 @@ _HOUR = 3_600_000_000
 @query("rate_limit_window", f"select user_id, (epoch_us(ts) // {24 * _HOUR} * {24 * _HOUR})::bigint as window_start, count(*)::bigint as n from events group by all having count(*) > 3")
 def rate_limit_window(spark: SparkSession, d: str) -> DataFrame:
     """Visitors with more than three events in a day."""
-    return logs.over_limit(_events(spark, d), 3, 86_400).select("user_id", _us("window_start"), "n")
+    return logs.over_fixed_limit(_events(spark, d), 3, 86_400).select("user_id", _us("window_start"), "n")
+
+
+@query("rate_limit_sliding", "select user_id, event_id, n from (select user_id, event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 86399999999 preceding and current row)::bigint as n from events) where n > 3")
+def rate_limit_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Events that are the fourth or later of their visitor within the day before them."""
+    return logs.over_limit(_events(spark, d), 3, 86_400).select("user_id", "event_id", "n")
 
 
 @query("click_join_query", "select q.event_id as query_id, c.event_id as click_id, user_id from events q join events c using (user_id) where q.event_type = 'view' and c.event_type = 'click' and c.ts >= q.ts and c.ts <= q.ts + interval 1 hour")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,9 +14,17 @@ def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def read_events(spark: SparkSession, folder: str, schema: StructType, pattern: str = "events.parquet", files_per_batch: int = 1) -> DataFrame:
-    """A file stream over one table of a shared folder."""
-    return event_time(spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+def read_events(spark: SparkSession, folder: str, schema: StructType, pattern: str = "events.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """A file stream over one table of a shared folder.
+
+    A backlog is read in one batch, as its files are in no order of event time: a watermark only moves
+    between batches, so no row of the backlog can be late. With ``files_per_batch`` the backlog comes in
+    several batches, and the watermarks behind must be as wide as the disorder between the files.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return event_time(reader.parquet(folder))
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -36,16 +44,34 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return s.select("user_id", F.col("s.start").alias("session_start"), "n")
 
 
-def over_limit(events: DataFrame, limit: int = config.RATE_LIMIT, seconds: int = config.RATE_SECONDS) -> DataFrame:
-    """(user_id, window_start, n) of visitors with more events than allowed in a window."""
+def over_fixed_limit(events: DataFrame, limit: int = config.RATE_LIMIT, seconds: int = config.RATE_SECONDS) -> DataFrame:
+    """(user_id, window_start, n) of visitors with more events than allowed in a fixed window; works on streams and tables."""
     w = events.withWatermark("ts", f"{seconds} seconds").groupBy("user_id", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.count(F.lit(1)).alias("n"))
     return w.where(F.col("n") > limit).select("user_id", F.col("w.start").alias("window_start"), "n")
 
 
-def clicks_of_queries(clicks: DataFrame, queries: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Clicks joined with the same visitor's query up to ``within`` before; both sides watermarked on streams."""
-    c = clicks.select(F.col("event_id").alias("click_id"), F.col("user_id").alias("click_user"), F.col("ts").alias("click_ts")).withWatermark("click_ts", within)
-    q = queries.select(F.col("event_id").alias("query_id"), "user_id", F.col("ts").alias("query_ts")).withWatermark("query_ts", within)
+def over_limit(events: DataFrame, limit: int = config.RATE_LIMIT, seconds: int = config.RATE_SECONDS) -> DataFrame:
+    """(user_id, event_id, ts, n) of the events that find the quota used up: n events of the visitor, this one included, in the ``seconds`` up to it.
+
+    A sliding window over a table; events of one moment count together. A visitor's events are split by
+    time: each stretch of ``seconds`` sees itself and the one before it, so no visitor is one task.
+    """
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    own = F.floor(at / width)
+    rows = events.select("user_id", "event_id", "ts", at.alias("at"), own.alias("own"), F.explode(F.array(own, own + 1)).alias("stretch"))
+    near = Window.partitionBy("user_id", "stretch").orderBy("at").rangeBetween(-width + 1, 0)
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(near))
+    return counted.where((F.col("own") == F.col("stretch")) & (F.col("n") > limit)).select("user_id", "event_id", "ts", "n")
+
+
+def clicks_of_queries(clicks: DataFrame, queries: DataFrame, within: str = "1 hour", late: str = "1 hour") -> DataFrame:
+    """Clicks joined with the same visitor's query up to ``within`` before; both sides watermarked on streams.
+
+    ``late`` is how far a row may come behind the latest one of the batches before it without being lost.
+    """
+    c = clicks.select(F.col("event_id").alias("click_id"), F.col("user_id").alias("click_user"), F.col("ts").alias("click_ts")).withWatermark("click_ts", late)
+    q = queries.select(F.col("event_id").alias("query_id"), "user_id", F.col("ts").alias("query_ts")).withWatermark("query_ts", late)
     near = (F.col("click_user") == F.col("user_id")) & (F.col("click_ts") >= F.col("query_ts")) & (F.col("click_ts") <= F.col("query_ts") + F.expr(f"INTERVAL {within}"))
     return q.join(c, near).select("query_id", "click_id", "user_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -182,6 +183,17 @@ def test_streams(spark, tmp_path):
     assert spark.table("once_t").count() == 5
     logs.clicks_of_queries(stream, stream).writeStream.format("memory").queryName("join_t").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
     assert spark.table("join_t").count() == logs.clicks_of_queries(df, df).count()
+    # the latest events first: a replay in one batch, and one file a batch under a watermark as wide as the disorder
+    for i, part in enumerate((df.where("ts >= '2024-01-01 03:00:00'"), df.where("ts < '2024-01-01 00:20:00'"), df.where("ts between '2024-01-01 00:20:00' and '2024-01-01 02:00:00'"))):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "worst"))
+        for f in (tmp_path / "worst").glob("part-*.parquet"):
+            if not f.name.startswith("part-0000x"):
+                os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
+                f.rename(f.with_name(f"part-0000x{i}.parquet"))
+    for name, files, late in (("whole_t", None, "1 hour"), ("each_t", 1, "1 day")):
+        worst = logs.read_events(spark, str(tmp_path / "worst"), df.schema, "*.parquet", files)
+        logs.clicks_of_queries(worst, worst, late=late).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        assert spark.table(name).count() == logs.clicks_of_queries(df, df).count(), name
     assert {(r.user_id, r.n) for r in logs.sessions(df).collect()} == {(1, 2), (1, 1), (2, 1), (2, 2)}
     logs.append_log(df, str(tmp_path / "log"))
     assert logs.expired_months(spark, str(tmp_path / "log"), "2024-06-10") == ["2024-01"]
