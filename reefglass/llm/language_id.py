@@ -18,6 +18,7 @@ counts as English with confidence 0.5; empty tables give no rows.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -51,7 +52,7 @@ _ALLOWED = {"latin": np.array([1, 0, 1, 0], bool), "thaana": np.array([0, 1, 0,
 def word_of(token: str) -> tuple[str, str]:
     """(word, kind): kind is latin, thaana, arabic, neutral (numbers, marks, addresses) or broken."""
     t = token.strip(_STRIP).lower()
-    if len(t) > 5 and len(set(t)) <= 2 or len(t) > 45:
+    if len(t) > 5 and len(set(t)) <= 2:
         return t, "broken"
     if _LATIN.match(t):
         return t, "latin" if len(t) > 1 or t in "ai" else "neutral"
@@ -182,42 +183,46 @@ class Words:
         self.sure: dict[str, float] = {}
 
     def learn(self, tokens: set[str]) -> None:
+        """Makes every token known. The cache is emptied only here, before a batch, never within one."""
         if len(self.code) > CACHE:
             self.code.clear()
             self.sure.clear()
-            return self.learn(tokens)
-        new = [t for t in tokens if t not in self.code]
-        todo, kinds, of = [], [], []
-        for t in new:
-            w, kind = word_of(t)
-            if kind == "broken" and (parts := _parts(t)):  # cells of a table row, items without blanks between
-                self.learn(set(parts))
-                main = Counter(c for p in parts if (c := self.code[p]) >= 0).most_common(1)
-                self.code[t] = main[0][0] if main else NEUTRAL
-                self.sure[t] = _mean([self.sure[p] for p in parts if main and self.code[p] == main[0][0]])
-            elif kind in _ALLOWED:
-                todo.append(w)
-                kinds.append(_ALLOWED[kind])
-                of.append(t)
-            else:
+        joined: dict[str, list[str]] = {}  # cells of a table row, items without blanks between
+        todo: dict[str, tuple[str, str]] = {}
+        for t in tokens:
+            if t not in self.code:
+                w, kind = word_of(t)
+                if kind == "broken" and (parts := _parts(t)):
+                    joined[t] = parts
+                    todo.update((p, word_of(p)) for p in parts if p not in self.code)
+                else:
+                    todo[t] = (w, kind)
+        self._score({t: x for t, x in todo.items() if x[1] in _ALLOWED})
+        for t, (_, kind) in todo.items():
+            if kind not in _ALLOWED:
                 self.code[t], self.sure[t] = (NEUTRAL if kind == "neutral" else BROKEN), 0.0
+        for t, parts in joined.items():
+            main = Counter(c for p in parts if (c := self.code[p]) >= 0).most_common(1)
+            self.code[t] = main[0][0] if main else NEUTRAL
+            self.sure[t] = _mean([self.sure[p] for p in parts if main and self.code[p] == main[0][0]])
+
+    def _score(self, todo: dict[str, tuple[str, str]]) -> None:
         if not todo:
-            return None
+            return
         if self.fitted:
-            b, owner = windows(todo)
+            b, owner = windows([w for w, _ in todo.values()])
             q = self.net.predict(b)
             probs = np.zeros((len(todo), len(LANGUAGES)))
             np.add.at(probs, owner, q)
         else:
             probs = np.tile(np.array([0.75, 1.0, 0.25, 1.0]), (len(todo), 1))
-        probs = np.where(np.array(kinds), probs + 1e-9, 0.0)
+        probs = np.where(np.array([_ALLOWED[k] for _, k in todo.values()]), probs + 1e-9, 0.0)
         probs /= probs.sum(1, keepdims=True)
         best = probs.argmax(1)
         top = probs.max(1)
-        for t, i, p in zip(of, best.tolist(), top.tolist(), strict=True):
+        for t, i, p in zip(todo, best.tolist(), top.tolist(), strict=True):
             self.code[t] = i if p >= SURE else NEUTRAL
             self.sure[t] = p
-        return None
 
 
 def segments(codes: list[int], sure: list[float] | None = None, min_run: int = MIN_RUN) -> list[tuple[int, int, float]]:
@@ -244,19 +249,48 @@ def segments(codes: list[int], sure: list[float] | None = None, min_run: int = M
             runs.append([c, 1, sure[j] if sure else 1.0])
     if garbled:  # only long clean stretches count as readable
         runs = [r for r in runs if r[0] != BROKEN and r[1] >= 8]
+    return [(c, n, x / n) for c, n, x in _absorb(runs, min_run)]
+
+
+def _absorb(runs: list[list], min_run: int) -> list[list]:
+    """Takes out the runs under min_run, shortest first (of equals, that of the rarer language, then the first).
+
+    What a run separated grows together. The runs are a linked list and the short ones wait in one heap
+    per length and language, so the work is in proportion to their number.
+    """
     total = Counter()
-    for c, n, _ in runs:
+    waiting: dict[tuple[int, int], list[int]] = defaultdict(list)
+    for i, (c, n, _) in enumerate(runs):
         total[c] += n
-    while any(r[1] < min_run for r in runs):
-        # the shortest run goes first; of equals, that of the rarer language
-        k = min(range(len(runs)), key=lambda i: (runs[i][1], total[runs[i][0]], i))
+        if n < min_run:
+            waiting[n, c].append(i)
+    before = [i - 1 for i in range(len(runs))]
+    after = [*range(1, len(runs)), -1]
+    alive = [True] * len(runs)
+    while True:
+        for key, queue in waiting.items():
+            while queue and not (alive[queue[0]] and runs[queue[0]][1] == key[0]):
+                heapq.heappop(queue)
+        heads = [(n, total[c], queue[0]) for (n, c), queue in waiting.items() if queue]
+        if not heads:
+            return [r for r, a in zip(runs, alive, strict=True) if a]
+        k = min(heads)[2]
+        alive[k] = False
         total[runs[k][0]] -= runs[k][1]
-        runs.pop(k)
-        if 0 < k < len(runs) and runs[k - 1][0] == runs[k][0]:
-            runs[k - 1][1] += runs[k][1]
-            runs[k - 1][2] += runs[k][2]
-            runs.pop(k)
-    return [(c, n, s / n) for c, n, s in runs]
+        left, right = before[k], after[k]
+        if left >= 0:
+            after[left] = right
+        if right >= 0:
+            before[right] = left
+        if left >= 0 and right >= 0 and runs[left][0] == runs[right][0]:
+            runs[left][1] += runs[right][1]
+            runs[left][2] += runs[right][2]
+            alive[right] = False
+            after[left] = after[right]
+            if after[right] >= 0:
+                before[after[right]] = left
+            if runs[left][1] < min_run:
+                heapq.heappush(waiting[runs[left][1], runs[left][0]], left)
 
 
 def _mean(x: list[float]) -> float:
@@ -292,11 +326,14 @@ def identify(texts: DataFrame, params: dict[str, np.ndarray] | None, only_cases:
 
 
 def labelled_sample(docs: DataFrame, rows: int, bound: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """About ``bound`` labelled documents, chosen by a hash of their id."""
-    share = min(1.0, bound / max(1, rows))
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)
-    got = docs.select("doc_id", "text", language_label(F.col("lang")).alias("lang")).where(pick & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    return sorted((r.text, r.lang) for r in got.select("text", "lang").limit(2 * bound).collect())
+    """At most ``bound`` labelled documents out of ``rows``: those with the least hashes of their id and text.
+
+    The share of hashes that is looked at gives about twice the bound, so that no whole column is sorted.
+    """
+    drawn = F.xxhash64("doc_id", "text", F.lit(5))
+    near = F.pmod(drawn, F.lit(1 << 40)) < F.lit(int(min(1.0, 2 * bound / max(1, rows)) * (1 << 40)))
+    got = docs.select("text", language_label(F.col("lang")).alias("lang"), drawn.alias("drawn")).where(near & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return sorted((r.text, r.lang) for r in got.distinct().orderBy("drawn").limit(bound).select("text", "lang").collect())
 
 
 def labelled_texts(spark: SparkSession, data_dir: str) -> DataFrame:

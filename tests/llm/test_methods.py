@@ -173,6 +173,46 @@ def test_segments(codes, want):
     assert [c for c, _, _ in li.segments(codes)] == want
 
 
+def _absorb_plainly(runs, min_run):
+    runs = [list(r) for r in runs]
+    total = {}
+    for c, n, _ in runs:
+        total[c] = total.get(c, 0) + n
+    while any(r[1] < min_run for r in runs):
+        k = min(range(len(runs)), key=lambda i: (runs[i][1], total[runs[i][0]], i))
+        total[runs[k][0]] -= runs[k][1]
+        runs.pop(k)
+        if 0 < k < len(runs) and runs[k - 1][0] == runs[k][0]:
+            runs[k - 1][1] += runs[k][1]
+            runs[k - 1][2] += runs[k][2]
+            runs.pop(k)
+    return runs
+
+
+def test_short_runs_are_absorbed_as_one_by_one():
+    rng = random.Random(5)
+    for _ in range(500):
+        runs = []
+        for _ in range(rng.randint(0, 30)):
+            c = rng.choice([x for x in range(4) if not runs or x != runs[-1][0]])
+            runs.append([c, rng.choice((1, 1, 2, 2, 3, 5)), 1.0])
+        assert li._absorb([list(r) for r in runs], 3) == _absorb_plainly(runs, 3)
+    assert li._absorb([[i % 2, 1, 1.0] for i in range(200_000)], 3)[0][0] == 1
+
+
+def test_words_outlive_a_full_cache(monkeypatch, spark, data_dir):
+    """Every token of a batch is known after it was learnt, however small the cache."""
+    texts = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").where("text is not null").select("text").collect()]
+    texts += ["a,b,c;d", "one|two|three", "name:value;name2:value2", "ކ,ހ|ށ"]
+    whole = li.Words(None)
+    whole.learn({t for x in texts for t in x.split()})
+    monkeypatch.setattr(li, "CACHE", 50)
+    small = li.Words(None)
+    for x in texts:
+        small.learn(set(x.split()))
+        assert [small.code[t] for t in x.split()] == [whole.code[t] for t in x.split()]
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
