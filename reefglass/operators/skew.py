@@ -16,3 +16,25 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     l = left.withColumn("_jsalt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     r = right.withColumn("_jsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return l.join(r, [*keys, "_jsalt"], how).drop("_jsalt")
+
+
+#: A key is hot if it holds more than one in HOT_SHARE of all rows; there are fewer than HOT_SHARE such keys at any size.
+HOT_SHARE, HOT_SALTS = 1000, 64
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str = "n") -> DataFrame:
+    """The hot keys of a table of counts (keys, n); at most HOT_SHARE rows, so they may be broadcast."""
+    total = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).where(F.col(n) * HOT_SHARE > F.col("_total")).select(*keys)
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, spread: Column, how: str = "inner", salts: int = HOT_SALTS) -> DataFrame:
+    """left joined with right, which has one row per key: rows of hot keys are spread over ``salts`` tasks, right's rows of them repeated.
+
+    Rows of other keys are not salted, and right is not repeated for them.
+    """
+    h = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
+    l = left.join(h, keys, "left").withColumn("_jsalt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(0).cast("int"))
+    every = F.sequence(F.lit(0), F.when(F.col("_hot"), F.lit(salts - 1)).otherwise(F.lit(0)))
+    r = right.join(h, keys, "left").withColumn("_jsalt", F.explode(every)).drop("_hot")
+    return l.drop("_hot").join(r, [*keys, "_jsalt"], how).drop("_jsalt")
