@@ -1,39 +1,43 @@
 """Problem 2: one surviving record for each group of duplicate records, field by field.
 
-Every row of a group claims a value for each field it fills. A two-sided latent-truth model weighs
-the claims: a source has, per field, a sensitivity (it states a true value) and a specificity (it
-does not state a false one); the truth of each distinct value is latent, and EM alternates between
-the values' posteriors and the sources' parameters. Several values of a field may be true; all whose
-posterior reaches ``KEEP`` are kept (``p2_kept_values``).
-
-Scale: groups of one row are dropped first, by a salted join with the shared groups on 128 bits of
-the key. Claims are then counted per (group, field, value) with one counter per documented source and
-map-side combine, so a group holding a third of all rows shrinks to its distinct values before the
-shuffle and is never gathered in one task. EM runs on the table of distinct count patterns, which is
-checkpointed; per round, only sources x fields sums reach the driver.
-
-p2_found takes its rows from these claims and applies the exact rule of the task: the most recent row
-with a usable value. It does not depend on the posterior, which rules no value out there.
-
-Defined results: null, blank or filler values and dummy phone numbers are not usable; groups whose
-key is null or empty, or with one id, give nothing; ties go to the higher id; empty tables give none.
+Every row of a group claims a value for each field it fills, fillers and dummies among them. Which
+claims are true is latent, and several values of a field may be: a two-sided latent-truth model judges
+each distinct value. Its witnesses are the sources (one that fills the field in the group states the
+value or does not) and the form of the value (it reads like a value or like a filler). A witness has a
+sensitivity (it speaks for a true value) and a specificity (it does not speak for a false one). Those of
+the form are given and anchor what true means; those of the sources and the share of true values are
+inferred per field: EM alternates between the values' posteriors and these until they stand still.
+Values with a posterior of ``KEEP`` and more are true. ``p2_found`` takes, field by field, the most
+recent row that states a true value; ``p2_kept_values`` keeps every true value.
+
+Scale: groups of one row are dropped first, on two narrow columns. Claims are reduced per (group, field,
+value) to their latest row and a bit set of sources, with map-side combine, so a group holding a third
+of all rows shrinks before the shuffle and is never gathered in one task; joins spread the rows of the
+groups found hot by count. EM runs on the counts of distinct patterns (sources that state the value,
+sources that fill the field, form): at most 2 * 3 ** ``MAX_SOURCES`` a field, whatever the data.
+
+Defined results: null and blank values are no claims; groups whose key is null or empty, or with one
+id, give nothing; ties go to the higher id; sources beyond the first ``MAX_SOURCES`` - 1 listed, and
+spellings that are not listed, speak as one; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefglass.checkpoints import cut
 from reefglass.functions.text import ASCII_DIGITS, OTHER_DIGITS, is_filler, plain
+from reefglass.operators.skew import hot_join, hot_keys
 from reefglass.sources.tables import read_table
 
 FIELDS = ("contact_phone", "title_dv", "summary_en", "island")
 KEEP = 0.5
-ROUNDS = 6
-SALTS = 4
+MAX_SOURCES = 8
+ROUNDS, STILL = 200, 1e-6
+#: (sensitivity, 1 - specificity) of the form, which anchors what true means, and of a source where EM starts, with its pseudo-count.
+FORM, SOURCE_START, HELD = (0.98, 0.02), (0.5, 0.5), 2.0
 
 
 def phone_digits(c: Column) -> Column:
@@ -58,107 +62,131 @@ def recency() -> Column:
     return F.struct(F.coalesce(ts, F.lit(-(1 << 62))).alias("at"), F.col("id").alias("id"))
 
 
-def shared_groups(rows: DataFrame) -> DataFrame:
-    """(k1, k2, dedupe_key, record) of the groups with two or more ids; record is the most recent (at, id)."""
+def _group_key() -> list[Column]:
+    key = F.col("dedupe_key")
+    return [F.xxhash64(key).alias("k1"), F.xxhash64(F.reverse(key)).alias("k2")]  # 128 bits of the key
+
+
+def shared_groups(docs: DataFrame) -> DataFrame:
+    """(k1, k2, dedupe_key, record, n) of the groups with two or more ids; record is the most recent (at, id)."""
+    rows = docs.where(F.col("dedupe_key").isNotNull() & (F.trim("dedupe_key") != "")).select("dedupe_key", *_group_key(), recency().alias("latest"))
     return rows.groupBy("k1", "k2").agg(
-        F.any_value("dedupe_key").alias("dedupe_key"), F.max("latest").alias("record"), F.min("latest.id").alias("lo"), F.max("latest.id").alias("hi")
+        F.any_value("dedupe_key").alias("dedupe_key"), F.max("latest").alias("record"), F.min("latest.id").alias("lo"), F.max("latest.id").alias("hi"), F.count(F.lit(1)).alias("n")
     ).where("lo < hi").drop("lo", "hi")
 
 
-def keyed_rows(docs: DataFrame, sources: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Rows with a group: its key and 128 bits of it (k1, k2), source number, recency, 64 bits of each usable value."""
-    key = F.col("dedupe_key")
-    return docs.where(key.isNotNull() & (F.trim(key) != "")).select(
-        "dedupe_key", F.xxhash64(key).alias("k1"), F.xxhash64(F.reverse(key)).alias("k2"),
-        F.coalesce(*[F.when(F.col("source") == s, F.lit(i)) for i, s in enumerate(sources)], F.lit(len(sources))).alias("src"),
-        recency().alias("latest"), *[F.when(usable_value(f).isNotNull(), F.xxhash64(usable_value(f))).alias(f"v_{f}") for f in fields],
-    )
+def claims(docs: DataFrame, shared: DataFrame, hot: DataFrame, sources: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """One row per (k1, k2, field_no, value, fit) of the shared groups: latest, and the bit set of sources that state it.
+
+    fit: the value reads like one of the field. A row delivered twice changes nothing.
+    """
+    src = F.coalesce(*[F.when(F.col("source") == s, F.lit(1 << i)) for i, s in enumerate(sources)], F.lit(1 << len(sources)))
+    read = [F.struct(usable_value(f).alias("v"), plain(F.col(f)).alias("p")).alias(f"_v{i}") for i, f in enumerate(fields)]
+    rows = docs.where(F.col("dedupe_key").isNotNull() & (F.trim("dedupe_key") != "")).select(*_group_key(), src.alias("src"), recency().alias("latest"), *read)
+    entries = F.array(*[
+        F.struct(F.lit(i).cast("tinyint").alias("field_no"), F.when(F.col(f"_v{i}.p") != "", F.xxhash64(F.coalesce(f"_v{i}.v", f"_v{i}.p"))).alias("value"), F.col(f"_v{i}.v").isNotNull().alias("fit"))
+        for i in range(len(fields))
+    ])
+    rows = rows.select("k1", "k2", "src", "latest", entries.alias("entries"))
+    mine = hot_join(rows, shared.select("k1", "k2"), ["k1", "k2"], hot, F.col("latest.id"))
+    long = mine.select("k1", "k2", "src", "latest", F.inline(F.filter("entries", lambda e: e["value"].isNotNull())))
+    return long.groupBy("k1", "k2", "field_no", "value", "fit").agg(F.max("latest").alias("latest"), F.bit_or("src").alias("states"))
+
 
+def with_covers(found: DataFrame, hot: DataFrame) -> DataFrame:
+    """Adds fills: the bit set of the sources that fill the field in the group."""
+    covers = found.groupBy("k1", "k2", "field_no").agg(F.bit_or("states").alias("fills"))
+    return hot_join(found, covers, ["k1", "k2", "field_no"], hot.crossJoin(F.broadcast(found.sparkSession.range(len(FIELDS)).select(F.col("id").cast("tinyint").alias("field_no")))), F.col("value"))
 
-def claims(rows: DataFrame, shared: DataFrame, n: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """One row per (k1, k2, field_name, value) of the shared groups: latest, and a_0.. (rows per source).
 
-    Rows meet their group by a salted join; in a salt a row delivered twice meets itself and counts once.
+def fit_witnesses(patterns: np.ndarray, n_sources: int) -> tuple[float, np.ndarray, int]:
+    """EM on one field's patterns, rows (states, fills, fit, count).
+
+    -> (prior of truth, array (witness, 2) of sensitivity and 1 - specificity, rounds); the form is the last witness.
     """
-    salted = shared.select("k1", "k2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    mine = rows.drop("dedupe_key").withColumn("_salt", F.pmod(F.col("latest.id"), F.lit(SALTS)).cast("int"))
-    mine = mine.join(salted, ["k1", "k2", "_salt"], "left_semi").withColumn("id", F.col("latest.id")).dropDuplicates(["k1", "k2", "_salt", "id"])
-    entries = F.array(*[F.struct(F.lit(i).cast("tinyint").alias("f"), F.col(f"v_{f}").alias("v")) for i, f in enumerate(fields)])
-    long = mine.select("k1", "k2", "src", "latest", F.inline(F.filter(entries, lambda e: e["v"].isNotNull())).alias("field_no", "value"))
-    return long.groupBy("k1", "k2", "field_no", "value").agg(F.max("latest").alias("latest"), *[F.count_if(F.col("src") == i).alias(f"a_{i}") for i in range(n)])
-
-
-def with_rivals(found: DataFrame, n: int, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """Adds b_i: how often each source states another value of the same group and field."""
-    parts = [f"a_{i}" for i in range(n)]
-    totals = found.groupBy("k1", "k2", "field_no").agg(*[F.sum(a).alias(f"t{a}") for a in parts])
-    joined = found.join(totals, ["k1", "k2", "field_no"])  # totals are unique: a skewed partition of claims can be split
-    name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field_no") + 1)
-    return joined.select("k1", "k2", name.alias("field_name"), "value", "latest", *parts, *[(F.col(f"t{a}") - F.col(a)).alias(f"b{a[1:]}") for a in parts])
-
-
-def _logit(params: dict[tuple[str, int], tuple[float, float]], prior: dict[str, float], fields: tuple[str, ...], n: int) -> Column:
-    out = F.lit(0.0)
-    for f in fields:
-        x = F.lit(math.log(prior[f] / (1 - prior[f])))
-        for i in range(n):
-            sens, false = params[f, i]
-            x = x + F.col(f"a_{i}") * math.log(sens / false) + F.col(f"b_{i}") * math.log((1 - sens) / (1 - false))
-        out = F.when(F.col("field_name") == f, x).otherwise(out)
+    states, fills, fit, count = patterns.T
+    said = np.stack([(states >> i) & 1 for i in range(n_sources)] + [fit], 1).astype(float)
+    heard = np.stack([(fills >> i) & 1 for i in range(n_sources)] + [np.ones_like(fit)], 1).astype(float)
+    start = np.array([SOURCE_START] * n_sources + [FORM])
+    prior, params = 0.5, start
+    for rounds in range(1, ROUNDS + 1):
+        p = posteriors(states, fills, fit, prior, params)
+        w = np.stack([count * p, count * (1 - p)], 1)  # rows: weight as true, as false
+        new = ((said[:, :, None] * w[:, None, :]).sum(0) + HELD * start) / ((heard[:, :, None] * w[:, None, :]).sum(0) + HELD)
+        new = np.clip(new, 1e-3, 1 - 1e-3)
+        new[-1] = FORM
+        new_prior = (w[:, 0].sum() + 1) / (count.sum() + 2)
+        moved = max(float(np.abs(new - params).max()), abs(new_prior - prior))
+        prior, params = float(new_prior), new
+        if moved < STILL:
+            break
+    return prior, params, rounds
+
+
+def posteriors(states: np.ndarray, fills: np.ndarray, fit: np.ndarray, prior: float, params: np.ndarray) -> np.ndarray:
+    """Probability that a value is true."""
+    x = np.full(len(states), np.log(prior / (1 - prior)))
+    for i, (sens, false) in enumerate(params):
+        said = (fit if i == len(params) - 1 else (states >> i) & 1) == 1
+        heard = np.ones(len(fit), bool) if i == len(params) - 1 else ((fills >> i) & 1) == 1
+        x += np.where(heard, np.where(said, np.log(sens / false), np.log((1 - sens) / (1 - false))), 0.0)
+    return 1 / (1 + np.exp(-x))
+
+
+def posterior(models: dict[int, tuple[float, np.ndarray]]) -> Column:
+    """The posterior as a column expression of field_no, states, fills and fit."""
+    out = F.lit(None).cast("double")
+    for f, (prior, params) in models.items():
+        x = F.lit(float(np.log(prior / (1 - prior))))
+        for i, (sens, false) in enumerate(params):
+            yes, no = float(np.log(sens / false)), float(np.log((1 - sens) / (1 - false)))
+            if i == len(params) - 1:
+                x = x + F.when(F.col("fit"), yes).otherwise(no)
+            else:
+                bit = F.lit(1 << i)
+                x = x + F.when(F.col("states").bitwiseAND(bit) != 0, yes).when(F.col("fills").bitwiseAND(bit) != 0, no).otherwise(0.0)
+        out = F.when(F.col("field_no") == f, F.lit(1.0) / (F.lit(1.0) + F.exp(-x))).otherwise(out)
     return out
 
 
-def _posterior(*args) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-27.0), F.least(F.lit(27.0), _logit(*args)))))
-
-
-def fit_sources(rivals: DataFrame, n: int, fields: tuple[str, ...] = FIELDS, rounds: int = ROUNDS) -> tuple[dict, dict]:
-    """EM over the count patterns: ((field, source) -> (sensitivity, 1 - specificity)), (field -> prior)."""
-    cols = [f"{x}_{i}" for x in "ab" for i in range(n)]
-    patterns = cut(rivals.groupBy("field_name", *cols).agg(F.count(F.lit(1)).alias("n")))
-    params = {(f, i): (0.7, 0.3) for f in fields for i in range(n)}
-    prior = dict.fromkeys(fields, 0.5)
-    for _ in range(rounds):
-        p = patterns.withColumn("p", _posterior(params, prior, fields, n))
-        sums = p.groupBy("field_name").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("p")).alias("np"),
-            *[F.sum(F.col("n") * F.col("p") * F.col(c)).alias(f"t{c}") for c in cols],
-            *[F.sum(F.col("n") * (1 - F.col("p")) * F.col(c)).alias(f"f{c}") for c in cols],
-        ).collect()  # one row per field
-        for r in sums:
-            f = r.field_name
-            prior[f] = (r.np + 2) / (r.n + 4)
-            for i in range(n):
-                sens = (r[f"ta_{i}"] + 7) / (r[f"ta_{i}"] + r[f"tb_{i}"] + 10)
-                false = (r[f"fa_{i}"] + 3) / (r[f"fa_{i}"] + r[f"fb_{i}"] + 10)
-                params[f, i] = (min(0.99, max(sens, false + 0.01)), min(0.98, false))
-    return params, prior
+def fit_models(rivals: DataFrame, n_sources: int) -> dict[int, tuple[float, np.ndarray]]:
+    """field_no -> (prior, witnesses' parameters); what is gathered is the bounded table of patterns."""
+    got = rivals.groupBy("field_no", "states", "fills", "fit").agg(F.count(F.lit(1)).alias("n")).collect()
+    models = {}
+    for f in sorted({r.field_no for r in got}):
+        patterns = np.array([(r.states, r.fills, int(r.fit), r.n) for r in got if r.field_no == f], dtype=np.int64)
+        models[f] = fit_witnesses(patterns, n_sources)[:2]
+    return models
 
 
 def judged_claims(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(shared groups, claims (k1, k2, field_name, value, latest, posterior) on them)."""
-    # doc_source has a fixed, small number of rows; rows of other spellings share one counter
-    sources = sorted({r.source for r in read_table(spark, data_dir, "doc_source", "source").collect() if r.source})
+    """(shared groups, claims (k1, k2, field_no, value, fit, latest, states, fills, posterior) on them)."""
+    # at most MAX_SOURCES counters, whatever doc_source holds
+    sources = [r.source for r in read_table(spark, data_dir, "doc_source", "source").where("source is not null").distinct().orderBy("source").limit(MAX_SOURCES - 1).collect()]
     docs = read_table(spark, data_dir, "search_document", "id", "source", "dedupe_key", "published_at", "indexed_at", *FIELDS)
-    n = len(sources) + 1
-    rows = keyed_rows(docs, sources)
-    shared = cut(shared_groups(rows))
-    rivals = cut(with_rivals(claims(rows, shared, n), n))
-    params, prior = fit_sources(rivals, n)
-    return shared, rivals.select("k1", "k2", "field_name", "value", "latest", _posterior(params, prior, FIELDS, n).alias("posterior"))
+    shared = cut(shared_groups(docs))
+    hot = hot_keys(shared, ["k1", "k2"])
+    rivals = cut(with_covers(cut(claims(docs, shared, hot, sources)), hot))
+    return shared, rivals.withColumn("posterior", posterior(fit_models(rivals, len(sources) + 1)))
 
 
-def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(dedupe_key, field_name, id): the row that serves each field of the group best."""
-    shared, judged = judged_claims(spark, data_dir)
-    best = judged.groupBy("k1", "k2").agg(*[F.max(F.when(F.col("field_name") == f, F.col("latest"))).alias(f"l_{f}") for f in FIELDS])
+def survivors(shared: DataFrame, judged: DataFrame) -> DataFrame:
+    """(dedupe_key, field_name, id): the most recent row, and per field the most recent row that states a true value."""
+    true = judged.where(F.col("posterior") >= KEEP)
+    best = true.groupBy("k1", "k2").agg(*[F.max(F.when(F.col("field_no") == i, F.col("latest"))).alias(f"l_{f}") for i, f in enumerate(FIELDS)])
     groups = shared.withColumnRenamed("record", "l_record").join(best, ["k1", "k2"], "left")
     picks = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"l_{f}.id").alias("id")) for f in ("record", *FIELDS)])
     return groups.select("dedupe_key", F.inline(F.filter(picks, lambda e: e["id"].isNotNull())))
 
 
+def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(dedupe_key, field_name, id): the row that serves each field of the group best."""
+    return survivors(*judged_claims(spark, data_dir))
+
+
 def p2_kept_values(spark: SparkSession, data_dir: str) -> DataFrame:
     """(dedupe_key, field_name, id, posterior): every value judged true, by the latest row that states it."""
     shared, judged = judged_claims(spark, data_dir)
-    kept = judged.where(F.col("posterior") >= KEEP).join(shared.select("k1", "k2", "dedupe_key"), ["k1", "k2"])
-    return kept.select("dedupe_key", "field_name", F.col("latest.id").alias("id"), F.round("posterior", 6).alias("posterior"))
+    kept = hot_join(judged.where(F.col("posterior") >= KEEP), shared.select("k1", "k2", "dedupe_key"), ["k1", "k2"], hot_keys(shared, ["k1", "k2"]), F.col("value"))
+    name = F.element_at(F.array(*[F.lit(f) for f in FIELDS]), F.col("field_no") + 1)
+    return kept.select("dedupe_key", name.alias("field_name"), F.col("latest.id").alias("id"), F.round("posterior", 6).alias("posterior"))

@@ -92,26 +92,48 @@ def test_survivors_against_brute_force(spark, tmp_path):
     assert all(0.5 <= r.posterior <= 1 for r in kept)
 
 
-def test_recency_alone_decides_found_rows(spark, tmp_path, monkeypatch):
-    """No posterior, however low, takes a row from p2_found."""
+def _rival_sources(spark, tmp_path):
+    """Groups in which source c, the latest, states what a and b contradict, and fillers besides."""
     t = dt.datetime(2024, 1, 1)
-    _docs(spark, [(i, "gazette", "a", t + dt.timedelta(days=i), t + dt.timedelta(days=9), "5551234", f"text {i}", "text", "Male") for i in range(3)]).write.parquet(str(tmp_path / "search_document.parquet"))
-    spark.createDataFrame([("gazette",)], "source string").write.parquet(str(tmp_path / "doc_source.parquet"))
-    monkeypatch.setattr(survivors, "_posterior", lambda *_: F.lit(0.0))
-    assert {tuple(r) for r in survivors.p2_found(spark, str(tmp_path)).collect()} == {("a", f, 2) for f in ("record", "contact_phone", "title_dv", "summary_en", "island")}
-
-
-def test_truth_model_trusts_the_source_that_agrees(spark):
-    """EM: values stated by a source that others confirm come out likelier than those of one that they contradict."""
     rows = []
-    for g in range(200):
-        rows += [(g, 0, "contact_phone", 1, (g, g), 5, 0, 0, 1), (g, 0, "contact_phone", 2, (g, g), 0, 1, 5, 0)]
-    df = spark.createDataFrame(rows, "k1 long, k2 long, field_name string, value long, latest struct<at:long,id:long>, a_0 long, a_1 long, b_0 long, b_1 long")
-    params, prior = survivors.fit_sources(df, 2, ("contact_phone",))
-    assert params["contact_phone", 0][0] > params["contact_phone", 1][0]
-    out = df.select("value", survivors._posterior(params, prior, ("contact_phone",), 2).alias("p")).groupBy("value").avg("p").collect()
-    p = {r.value: r["avg(p)"] for r in out}
-    assert p[1] > 0.9 > 0.2 > p[2]
+    for g in range(60):
+        for i, src in enumerate("abc"):
+            island = "Male" if src != "c" else "n/a" if g % 3 else "Hulhumale"
+            rows.append((10 * g + i, src, f"g{g}", t + dt.timedelta(days=i), t + dt.timedelta(days=9), "5551234", "text", "text", island))
+    _docs(spark, rows).write.parquet(str(tmp_path / "search_document.parquet"))
+    spark.createDataFrame([("a",), ("b",), ("c",)], "source string").write.parquet(str(tmp_path / "doc_source.parquet"))
+    return survivors.judged_claims(spark, str(tmp_path))
+
+
+def test_parameters_decide_found_rows(spark, tmp_path):
+    shared, judged = _rival_sources(spark, tmp_path)
+    islands = lambda j: {(r.dedupe_key, r.id) for r in survivors.survivors(shared, j).where("field_name = 'island'").collect()}
+    assert islands(judged) == {(f"g{g}", 10 * g + 1) for g in range(60)}  # c states fillers, and Hulhumale against two
+    empty = {3: (0.5, np.full((4, 2), 0.5))}
+    assert islands(judged.withColumn("posterior", survivors.posterior(empty))) == {(f"g{g}", 10 * g + 2) for g in range(60)}  # fillers pass
+    trusted = {3: (0.5, np.array([[0.5, 0.5], [0.5, 0.5], [0.9, 0.1], survivors.FORM]))}
+    assert islands(judged.withColumn("posterior", survivors.posterior(trusted))) == {(f"g{g}", 10 * g + (1 if g % 3 else 2)) for g in range(60)}  # c is believed, fillers are not
+
+
+def test_column_and_array_posteriors_agree(spark, tmp_path):
+    _, judged = _rival_sources(spark, tmp_path)
+    for r in judged.where("field_no = 3").limit(50).collect():
+        models = survivors.fit_models(judged, 4)
+        one = lambda x: np.array([x], dtype=np.int64)
+        assert math.isclose(r.posterior, survivors.posteriors(one(r.states), one(r.fills), one(int(r.fit)), *models[3])[0], rel_tol=1e-6)
+        break
+
+
+def test_em_finds_the_sources_that_plant_false_values():
+    """Source 1 states nine false values of ten, source 0 hardly any: EM finds it, and stands still."""
+    rng = np.random.default_rng(2)
+    true = rng.random(20_000) < 0.5
+    said = np.stack([rng.random(20_000) < np.where(true, 0.9, 0.1), rng.random(20_000) < np.where(true, 0.3, 0.9)], 1)
+    fit = rng.random(20_000) < np.where(true, 0.98, 0.02)
+    patterns = pd.DataFrame({"s": said[:, 0] + 2 * said[:, 1], "c": 3, "f": fit.astype(int)}).groupby(["s", "c", "f"]).size().reset_index().to_numpy().astype(np.int64)
+    prior, params, rounds = survivors.fit_witnesses(patterns, 2)
+    assert rounds < survivors.ROUNDS
+    assert abs(prior - 0.5) < 0.02 and np.allclose(params[:2], [[0.9, 0.1], [0.3, 0.9]], atol=0.03)
 
 
 EN = "the price was lowered as the storm damaged the old structure and forms are available from the council office during office hours".split()
