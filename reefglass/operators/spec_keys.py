@@ -3,9 +3,9 @@
 ``key_raw`` may be the registry key, a label, a synonym, a misspelling, and may carry a unit
 ("Weight [kg]", "Length_in", "holds in ml"). Half of the rows also carry the registry's id, so the
 synonyms are learned from the table itself: every normalised key gets the id most of its rows name.
-The vote is one aggregation with map-side combine over two columns; its result has one row per
-distinct normalised key. Up to ``MAX_BROADCAST_KEYS`` of them it is broadcast; beyond that it is
-joined by a salted shuffle, so that one key holding a third of all rows does not end in one task.
+Keys are counted as typed, by one aggregation with map-side combine over two columns, and resolved
+once each. Up to ``MAX_BROADCAST_KEYS`` of them the table of keys is broadcast; beyond that it is joined
+by a shuffle that spreads the hot keys, so that one holding a third of all rows does not end in one task.
 The registry itself is a table of a fixed, small number of rows; it becomes map literals.
 """
 
@@ -16,13 +16,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reefglass.checkpoints import cut
 from reefglass.functions.text import plain
 from reefglass.functions.units import spelling_codes, unit_key
-from reefglass.operators.skew import salted_join
-from reefglass.sources.tables import local_table, read_table
+from reefglass.operators.skew import HOT_SHARE, hot_join, hot_keys
+from reefglass.sources.tables import read_table
 
 MAX_BROADCAST_KEYS = 20_000
-SALTS = 16
 #: "<key> in <unit>", "<key>_<unit>", "<key> (<unit>)", "<key> [<unit>]".
 _SUFFIX = r"^(.*?)(?:\s+in\s+|_|\s*\(|\s*\[)([^\[\]]+?)[\)\]]?\s*$"
 
@@ -76,52 +76,67 @@ def with_key_parts(df: DataFrame, registry: Registry) -> DataFrame:
     )
 
 
+def _votes(parts: DataFrame) -> DataFrame:
+    seen = parts.where("key_id is not null and key_form is not null").groupBy("key_form", "key_id").agg(F.sum("n").alias("n"))
+    return seen.groupBy("key_form").agg(F.max_by("key_id", F.struct("n", -F.col("key_id"))).alias("vote_id")).withColumnRenamed("key_form", "vote_form")
+
+
 def key_votes(specs: DataFrame, registry: Registry) -> DataFrame:
     """(vote_form, vote_id): for every key form that some row ties to a registry id, the id most rows name.
 
     Rows are counted per key as typed before keys are normalised, so normalising costs one step per distinct key.
     """
-    typed = specs.where("key_id is not null").groupBy("key_raw", "key_id").agg(F.count(F.lit(1)).alias("n"))
-    seen = with_key_parts(typed, registry).groupBy("key_form", "key_id").agg(F.sum("n").alias("n"))
-    return seen.where("key_form is not null").groupBy("key_form").agg(F.max_by("key_id", F.struct("n", -F.col("key_id"))).alias("vote_id")).withColumnRenamed("key_form", "vote_form")
+    return _votes(with_key_parts(specs.groupBy("key_raw", "key_id").agg(F.count(F.lit(1)).alias("n")), registry))
 
 
-def resolve_keys(spark: SparkSession, specs: DataFrame, registry: Registry) -> DataFrame:
-    """specs plus spec_key, datatype, unit_code, key_unit; rows of no registry attribute are dropped.
+def key_table(specs: DataFrame, registry: Registry) -> DataFrame:
+    """(key_raw, key_id, n, spec_key, datatype, unit_code, key_unit) of every distinct key as typed that is a registry attribute's; n rows carry it.
 
     A row's own key_id counts first, then the registry's own names, then the vote for its key.
     """
-    parts = with_key_parts(specs, registry)
-    votes = key_votes(specs.select("key_raw", "key_id"), registry)
-    head = votes.limit(MAX_BROADCAST_KEYS + 1).collect()
-    if len(head) <= MAX_BROADCAST_KEYS:
-        small = local_table(spark, [(r.vote_form, r.vote_id) for r in head], vote_form="string", vote_id="int64")
-        joined = parts.join(F.broadcast(small), F.col("key_form") == F.col("vote_form"), "left")
-    else:
-        salted = votes.withColumn("_vsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        parts = parts.withColumn("_salt", F.pmod(F.xxhash64("spec_id"), F.lit(SALTS)).cast("int"))
-        joined = parts.join(salted, (F.col("key_form") == F.col("vote_form")) & (F.col("_salt") == F.col("_vsalt")), "left").drop("_salt", "_vsalt")
+    typed = with_key_parts(cut(specs.groupBy("key_raw", "key_id").agg(F.count(F.lit(1)).alias("n"))), registry)
+    joined = typed.join(_votes(typed), F.col("key_form") == F.col("vote_form"), "left")
     ids = {a.key_id: a.spec_key for a in registry.attributes}
     own = {}
     for a in registry.attributes:
         for name in (a.spec_key, a.label_en, a.label_dv):
             form = "".join(ch for ch in (name or "").lower() if ch.isalnum() or "ަ" <= ch <= "ް")
             own.setdefault(form, a.spec_key)
-    joined = joined.withColumn("spec_key", F.coalesce(lookup(ids, F.col("key_id")), lookup(own, F.col("key_form")), lookup(ids, F.col("vote_id"))))
-    joined = joined.where("spec_key is not null").drop("key_form", "vote_form", "vote_id")
+    joined = joined.withColumn("spec_key", F.coalesce(lookup(ids, F.col("key_id")), lookup(own, F.col("key_form")), lookup(ids, F.col("vote_id")))).where("spec_key is not null")
     kinds = {a.spec_key: a.datatype for a in registry.attributes}
     codes = {a.spec_key: a.unit_code for a in registry.attributes if a.unit_code in registry.units}
-    return joined.withColumn("datatype", lookup(kinds, F.col("spec_key"))).withColumn("unit_code", lookup(codes, F.col("spec_key")))
+    return joined.select("key_raw", "key_id", "n", "spec_key", lookup(kinds, F.col("spec_key")).alias("datatype"), lookup(codes, F.col("spec_key")).alias("unit_code"), "key_unit")
+
+
+def resolve_keys(spark: SparkSession, specs: DataFrame, registry: Registry) -> DataFrame:
+    """specs plus spec_key, datatype, unit_code, key_unit; rows of no registry attribute are dropped.
+
+    Keys are resolved once per distinct key as typed; the rows then meet the table of keys by hash.
+    """
+    keys = cut(key_table(specs.select("key_raw", "key_id"), registry))
+    found = ["spec_key", "datatype", "unit_code", "key_unit"]
+    if keys.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS:
+        small = F.broadcast(keys.select(F.col("key_raw").alias("_raw"), F.col("key_id").alias("_id"), *found))
+        return specs.join(small, F.col("key_raw").eqNullSafe(F.col("_raw")) & F.col("key_id").eqNullSafe(F.col("_id"))).drop("_raw", "_id")
+    none = [F.coalesce("key_raw", F.lit("")).alias("_raw"), F.coalesce("key_id", F.lit(0)).alias("_id"), F.col("key_raw").isNull().alias("_no_raw"), F.col("key_id").isNull().alias("_no_id")]
+    right = keys.select(*none, "n", *found)
+    on = ["_raw", "_id", "_no_raw", "_no_id"]
+    return hot_join(specs.select("*", *none), right.drop("n"), on, hot_keys(right, on), F.col("spec_id")).drop(*on)
+
+
+def hot_documents(df: DataFrame, key: str = "document_id") -> DataFrame:
+    """The documents that hold more than one in HOT_SHARE of the rows, by a heavy-hitter sketch of bounded size: a few rows."""
+    seen = df.agg(F.expr(f"approx_top_k({key}, {HOT_SHARE}, {20 * HOT_SHARE})").alias("top"), F.count(F.lit(1)).alias("_n"))
+    return seen.select("_n", F.inline("top")).where(F.col("item").isNotNull() & (F.col("count") * HOT_SHARE > F.col("_n"))).select(F.col("item").alias(key))
 
 
-def of_live_documents(df: DataFrame, documents: DataFrame, *columns: str) -> DataFrame:
+def of_live_documents(df: DataFrame, documents: DataFrame, *columns: str, hot: DataFrame | None = None) -> DataFrame:
     """Rows whose document_id is in search_document; with columns, those of the document are added.
 
     The documents are reduced to one row per id before the join (rows may be delivered twice). With
-    columns, df needs a spec_id: a document with very many rows is spread by it.
+    ``hot``, the documents known to hold very many rows, df needs a spec_id by which those are spread.
     """
-    docs = documents.select(F.col("id").alias("document_id"), *columns)
-    if not columns:
-        return df.join(docs, "document_id", "left_semi")
-    unique = docs.groupBy("document_id").agg(*[F.min(c).alias(c) for c in columns])
-    return salted_join(df, unique, ["document_id"], F.col("spec_id"), "inner", 4)
+    unique = documents.select(F.col("id").alias("document_id"), *columns).groupBy("document_id").agg(*[F.min(c).alias(c) for c in columns] or [F.lit(1).alias("_live")]).drop("_live")
+    if hot is None:
+        return df.join(unique, "document_id")
+    return hot_join(df, unique, ["document_id"], hot, F.col("spec_id"))
