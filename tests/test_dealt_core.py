@@ -85,17 +85,19 @@ def test_unit_mixture_follows_values_against_a_weak_prior():
         groupBy = agg = where  # noqa: N815
 
         def collect(self):
-            known = [Row(quantity="mass", source="s", written_unit="kg", note_unit=None, common_unit="kg", bin=b, n=100) for b in (-2, 0, 2)]
-            free = [Row(quantity="mass", source="s", written_unit=None, note_unit=None, common_unit="kg", bin=b, n=500) for b in (26, 28, 30)]
-            return known + free
+            row = lambda key, unit, b, n: Row(spec_key=key, source="s", written_unit=unit, note_unit=None, common_unit="kg", bin=b, n=n)
+            light = [row("light", "kg", b, 100) for b in (-2, 0, 2)] + [row("light", None, b, 5000) for b in (26, 28, 30)]
+            heavy = [row("heavy", "kg", b, 100) for b in (26, 28, 30)] + [row("heavy", None, b, 5000) for b in (26, 28, 30)]
+            return light + heavy
 
     import unittest.mock as mock
 
-    reg = Registry([], {"kg": ("mass", 1.0, 0.0), "g": ("mass", 0.001, 0.0)}, {})
+    attributes = [SimpleNamespace(spec_key=k, unit_code="kg") for k in ("light", "heavy")]
+    reg = Registry(attributes, {"kg": ("mass", 1.0, 0.0), "g": ("mass", 0.001, 0.0)}, {})
     with mock.patch.object(units, "F"), mock.patch.object(units, "_bin"):
         fitted = units.fit_units(Rows(), reg, ["s"])
-    best = {b: max((p, c) for q, s, bb, c, p in fitted if bb == b)[1] for b in (26, 28, 30)}
-    assert set(best.values()) == {"g"}
+    best = {(key, b): max((p, c) for k, s, bb, c, p in fitted if bb == b and k == key)[1] for key in ("light", "heavy") for b in (26, 28, 30)}
+    assert {k: {c for (key, _), c in best.items() if key == k} for k in ("light", "heavy")} == {"light": {"g"}, "heavy": {"kg"}}
 
 
 def test_notes_name_units(spark):
