@@ -1,12 +1,14 @@
 """Problem 1: values typed freely -> the entry of the attribute's reference list, or 0.
 
-The reference lists are a table of fixed size (checked against ``MAX_ENTRIES``), so they travel with
-the task; the free values never leave their partition. In each Arrow batch the values are first
-deduplicated (a bounded cache carries results from batch to batch), normalised, and looked up in an
-inverted index of character n-grams of the list. Candidates are scored by the cosine of their
-idf-weighted n-gram vectors and accepted above ``threshold`` with ``margin`` to the next entry; a
-gap below either is decided by an exact check (edit distance, word order, unique prefix).
-No shuffle is needed, and a value holding a third of all rows costs one lookup per batch.
+The distinct values of an attribute are normalised and looked up, each once, in an inverted index of
+character n-grams of the list. Candidates are scored by the cosine of their idf-weighted n-gram vectors
+and accepted above ``threshold`` with ``margin`` to the next entry. What lies below either is checked
+exactly against the candidates: word order, edit distance, a unique prefix.
+
+Scale: the reference lists are a table of fixed size (checked against ``MAX_ENTRIES`` before it is
+gathered), so they travel with the task. The values are counted with map-side combine, so a value that
+holds a third of all rows is matched once; the join back to the rows spreads the values and documents
+found hot.
 
 Defined results: null or blank values are no case; fillers, values of other lists and unlisted
 values give 0; an empty list maps every value to 0; repeated rows give one row.
@@ -25,13 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reefglass.checkpoints import cut
 from reefglass.functions.text import ASCII_DIGITS, FILLERS, OTHER_DIGITS, plain
-from reefglass.operators.spec_keys import Registry, of_live_documents, resolve_keys
+from reefglass.operators.skew import hot_join, hot_keys
+from reefglass.operators.spec_keys import Registry, hot_documents, of_live_documents, resolve_keys
 from reefglass.sources.tables import read_table
 
 MAX_ENTRIES = 100_000
-CACHE = 200_000
-THRESHOLD, MARGIN = 0.72, 0.12
+THRESHOLD, MARGIN = 0.65, 0.12
 
 #: Letters of other scripts that look like Latin ones, and digits typed for letters.
 _LOOKALIKES = str.maketrans("аеорсухкмтвніјѕԁɡαο", "aeopcyxkmtbhijsdgao")
@@ -117,6 +120,11 @@ def osa(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
+def edit_limit(form: str) -> int:
+    """Edits that leave a form recognisable: about one letter in three, at most three."""
+    return 1 if len(form) <= 4 else 2 if len(form) <= 7 else 3
+
+
 class ListIndex:
     """Inverted index of character n-grams over one attribute's list."""
 
@@ -177,46 +185,45 @@ class ListIndex:
                 scores[key] += w * x
         return sorted(((s, i, f) for (i, f), s in scores.items()), key=lambda c: (-c[0], c[1], c[2]))
 
-    def match(self, value: str) -> tuple[int, float]:
-        """(ref_id or 0, score)."""
+    def match(self, value: str) -> tuple[int, float, str]:
+        """(ref_id or 0, score, what decided it): exact, cosine, edit, prefix or none."""
         plainly = normalise(value)
         if plainly in FILLERS or re.sub(r"[\s.]+$", "", plainly) in FILLERS:
-            return 0, 0.0
+            return 0, 0.0, "none"
         readings = [r for r in variants(value, self.vocabulary) if r]
         if not readings:
-            return 0, 0.0
-        for r in readings:
-            if (i := self.forms.get(compact(r))) is not None:
-                return i, 1.0
-        for r in readings:
+            return 0, 0.0, "none"
+        if (i := self.forms.get(compact(readings[0]))) is not None:
+            return i, 1.0, "exact"
+        found = [(compact(r), self.candidates(compact(r))) for r in readings]
+        found = [(form, c) for form, c in found if c]
+        if not found:
+            return 0, 0.0, "none"
+        best = (0, 0.0, "none")
+        for _, c in found:  # the cosine decides where an entry is near and the next one is not
+            gap = c[0][0] - next((s for s, i, _ in c if i != c[0][1]), 0.0)
+            if c[0][0] >= self.threshold and gap >= self.margin and c[0][0] > best[1]:
+                best = (c[0][1], c[0][0], "cosine")
+        if best[0]:
+            return best
+        for r in readings:  # the same words in another order
             if (i := self.sorted_forms.get("".join(sorted(r)))) is not None:
-                return i, 1.0
-        best = (0, 0.0)
-        for r in readings[1:] or readings:
-            form = compact(r)
-            found = self.candidates(form)
-            if not found:
-                continue
-            top = found[0]
-            second = next((s for s, i, _ in found if i != top[1]), 0.0)
-            if top[0] >= self.threshold and top[0] - second >= self.margin and top[0] > best[1]:
-                best = (top[1], top[0])
-                continue
-            limit = 1 if len(form) <= 4 else 2 if len(form) <= 7 else 3
+                return i, 1.0, "exact"
+        for form, c in found[1:] or found:  # an exact check of the candidates in between
+            limit = edit_limit(form)
             nearest: dict[int, tuple[int, float]] = {}
-            for s, i, f in found:  # every entry that shares an n-gram
+            for s, i, f in c:  # every entry that shares an n-gram
                 d = (osa(form, f, limit), -s)
                 nearest[i] = min(d, nearest.get(i, d))
             near = sorted((d, s, i) for i, (d, s) in nearest.items())
             if near[0][0] <= limit and (len(near) < 2 or near[0][0] < near[1][0] or near[1][1] - near[0][1] >= self.margin):
                 score = 1 - near[0][0] / max(len(form), 1)
                 if score > best[1]:
-                    best = (near[0][2], score)
-                continue
-            if len(form) >= 5:
+                    best = (near[0][2], score, "edit")
+            elif len(form) >= 5:
                 ids = {i for f, i in self.forms.items() if f.startswith(form)}
                 if len(ids) == 1 and best[1] < 0.6:
-                    best = (ids.pop(), 0.6)
+                    best = (ids.pop(), 0.6, "prefix")
         return best
 
 
@@ -228,38 +235,36 @@ def free_values(spark: SparkSession, data_dir: str, registry: Registry, listed:
 
 
 def map_values(rows: DataFrame, entries: list[tuple[str, int, str, str | None]], aliases: dict[str, dict[str, str]], threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """rows (spec_id, document_id, spec_key, value_text) -> plus ref_id and score.
+    """The distinct values of rows (spec_key, value_text), each once -> (spec_key, value_text, n, ref_id, score, decided_by); n rows hold it.
 
     entries: (spec_key, ref_id, value_en, value_dv); aliases: spec_key -> {typed value: list value}.
     """
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"a reference list of {len(entries)} entries is too large to travel with every task")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         per_key: dict[str, list] = defaultdict(list)
         for key, ref_id, en, dv in entries:
             per_key[key].append((ref_id, en, dv))
         index = {k: ListIndex(v, aliases.get(k, {}), threshold, margin) for k, v in per_key.items()}
-        cache: dict[tuple[str, str], tuple[int, float]] = {}
         for pdf in batches:
-            pairs = list(zip(pdf["spec_key"], pdf["value_text"], strict=True))
-            if len(cache) > CACHE:
-                cache.clear()
-            for p in set(pairs):
-                if p not in cache:
-                    cache[p] = index[p[0]].match(p[1]) if p[0] in index and p[1] is not None else (0, 0.0)
-            pdf["ref_id"] = [cache[p][0] for p in pairs]
-            pdf["score"] = [cache[p][1] for p in pairs]
-            yield pdf[["spec_id", "document_id", "spec_key", "value_text", "ref_id", "score"]]
+            found = [index[k].match(v) if k in index and v is not None else (0, 0.0, "none") for k, v in zip(pdf["spec_key"], pdf["value_text"], strict=True)]
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(found, columns=["ref_id", "score", "decided_by"])], axis=1)
 
-    schema = "spec_id long, document_id long, spec_key string, value_text string, ref_id long, score double"
-    return rows.select("spec_id", "document_id", "spec_key", "value_text").mapInPandas(run, schema)
+    values = rows.groupBy("spec_key", "value_text").agg(F.count(F.lit(1)).alias("n"))
+    return values.mapInPandas(run, "spec_key string, value_text string, n long, ref_id long, score double, decided_by string")
 
 
-def mapped(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Every free value of a listed attribute with its entry."""
-    # both tables have a fixed, small number of rows
-    entries = [(r.spec_key, r.ref_id, r.value_en, r.value_dv) for r in read_table(spark, data_dir, "ref_value").collect()]
+def reference_lists(spark: SparkSession, data_dir: str) -> list[tuple[str, int, str, str | None]]:
+    """The entries of all lists, on the driver. The table is fixed; its size is checked before it is gathered."""
+    table = read_table(spark, data_dir, "ref_value", "spec_key", "ref_id", "value_en", "value_dv")
+    n = table.count()
+    if n > MAX_ENTRIES:
+        raise ValueError(f"reference lists of {n} entries are too large to travel with every task")
+    return [tuple(r) for r in table.where("spec_key is not null and ref_id is not null").collect()]
+
+
+def matched_values(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the free values of listed attributes, row by row; their distinct values with the entry)."""
+    entries = reference_lists(spark, data_dir)
     aliases = {}
     registry = Registry.load(spark, data_dir)
     for r in registry.attributes:
@@ -267,17 +272,24 @@ def mapped(spark: SparkSession, data_dir: str) -> DataFrame:
             aliases[r.spec_key] = {str(k): str(v) for k, v in json.loads(r.value_aliases or "{}").items()}
         except ValueError:
             aliases[r.spec_key] = {}
-    return map_values(free_values(spark, data_dir, registry, {e[0] for e in entries}), entries, aliases)
+    rows = free_values(spark, data_dir, registry, {e[0] for e in entries})
+    return rows, cut(map_values(rows, entries, aliases))
+
+
+def mapped(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(spec_id, document_id, spec_key, value_text, ref_id, score, decided_by): every free value of a listed attribute of a live document with its entry."""
+    rows, values = matched_values(spark, data_dir)
+    key = ["spec_key", "value_text"]
+    rows = of_live_documents(rows, read_table(spark, data_dir, "search_document", "id"), hot=hot_documents(read_table(spark, data_dir, "document_spec", "document_id")))
+    return hot_join(rows, values.drop("n"), key, hot_keys(values, key), F.col("spec_id"))
 
 
 def p1_found(spark: SparkSession, data_dir: str) -> DataFrame:
     """(spec_id, ref_id): the entry meant, 0 for none."""
-    found = mapped(spark, data_dir).select("spec_id", "document_id", "ref_id")
-    return of_live_documents(found, read_table(spark, data_dir, "search_document", "id")).select("spec_id", "ref_id").distinct()
+    return mapped(spark, data_dir).select("spec_id", "ref_id").distinct()
 
 
 def p1_unmatched(spark: SparkSession, data_dir: str) -> DataFrame:
     """The values without an entry, with their number of rows."""
-    found = mapped(spark, data_dir).where("ref_id = 0").select("spec_id", "document_id", "spec_key", plain(F.col("value_text")).alias("value"))
-    live = of_live_documents(found, read_table(spark, data_dir, "search_document", "id")).select("spec_id", "spec_key", "value").distinct()
+    live = mapped(spark, data_dir).where("ref_id = 0").select("spec_id", "spec_key", plain(F.col("value_text")).alias("value")).distinct()
     return live.groupBy("spec_key", "value").agg(F.count(F.lit(1)).alias("rows"))

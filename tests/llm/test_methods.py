@@ -52,6 +52,14 @@ def test_inverted_index_equals_brute_force(index):
         assert all(math.isclose(got[k], brute[k], rel_tol=1e-9) for k in got)
 
 
+def test_cosine_decides_and_repeats_count_once(spark, index):
+    """Misspellings are decided by the cosine; a value is matched once, however many rows hold it."""
+    assert [index.match(v)[2] for v in ("Teak Wood", "Marine Plywod", "Sr Accts Oficer", "Naruthooavru", "Peat")] == ["exact", "cosine", "cosine", "cosine", "none"]
+    rows = spark.createDataFrame([("material", "Marine Plywod")] * 500 + [("material", None), ("other", "Marine Plywod")], "spec_key string, value_text string")
+    got = {(r.spec_key, r.value_text): (r.n, r.ref_id) for r in vm.map_values(rows, [("material", *e) for e in ENTRIES], {}).collect()}
+    assert got == {("material", "Marine Plywod"): (500, 2), ("material", None): (1, 0), ("other", "Marine Plywod"): (1, 0)}
+
+
 def test_osa_is_the_edit_distance_with_swaps():
     def brute(a, b):
         if not a or not b:
