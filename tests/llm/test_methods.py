@@ -254,17 +254,56 @@ def test_verdicts(text, want):
     assert truncation.verdict(text) == want
 
 
+def _early(spark, texts):
+    """text -> whether its near-copies go on inside the phrase, of the texts that have one."""
+    df = spark.createDataFrame([(1, t) for t in texts], "field_no int, text string").withColumn("tid", truncation.text_id(F.col("field_no"), F.col("text")))
+    of = {r.tid: r.text for r in df.collect()}
+    return {of[r.tid]: r.early for r in truncation.early_ends(spark, df).collect()}
+
+
 def test_near_copies_equal_brute_force(spark):
-    """Every text with a continuation of 0.8 similarity is found; nothing else is."""
+    """Texts cut at a word or in one, some with a word changed as well: what aligning all pairs finds is found, and nothing else."""
     rng = random.Random(5)
-    words = [f"w{i}" for i in range(400)]
-    full = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
-    texts = full + [" ".join(t.split()[: rng.randint(30, 59)]) for t in full] + [f"{t}." for t in full[:5]]
-    got = {r.text for r in truncation.early_ends(spark.createDataFrame([("f", t) for t in texts], "field_name string, text string")).collect()}
-    sh = lambda t: {" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
-    want = {t for t in texts for u in texts if u.startswith(t) and len(u.strip(".")) > len(t) and len(sh(t)) / len(sh(u)) >= 0.8}
-    assert got <= want
-    assert len(got) >= 0.95 * len(want)
+    words = [f"w{chr(97 + i % 26)}{i}x" for i in range(400)]
+    full = [rng.choices(words, k=rng.choice([8, 12, 20, 90, 150, 150])) for _ in range(160)]
+    texts = [" ".join(t) for t in full] + [f"{' '.join(t)}." for t in full[:5]]
+    for t in full:
+        cut = list(t[: rng.randint(max(6, len(t) * (90 if len(t) > 50 else 75) // 100), len(t) - 1)])
+        if len(cut) > 50 and rng.random() < 0.7:
+            cut[rng.randint(3, len(cut) - 4)] = "changed"
+        if rng.random() < 0.3:
+            cut[-1] = cut[-1][:-1]
+        texts.append(" ".join(cut))
+    got = _early(spark, texts)
+    want = {t for t in set(texts) for u in texts if truncation.goes_on(t, u)}
+    changed = {t for t in want if "changed" in t}
+    assert set(got) <= want and len(changed) > 20
+    assert len(got) >= 0.97 * len(want) and len(changed & set(got)) >= 0.9 * len(changed)
+
+
+def test_vectorised_contexts_are_the_plain_ones():
+    """The hashed contexts of a batch fall together exactly where the plain ones do."""
+    texts = ["Supply of nails, paint and 12 boards", "supply of nails, paint and 99 boards", "nails", "", "of nails, paint", "(Supply of) nails, paint, tiles and x and y"]
+    for title in (True, False):
+        t = truncation.Tokens(texts)
+        keys, _ = truncation.closing_contexts(t, np.zeros(len(texts), np.int64), np.full(len(texts), title))
+        plain = []
+        for x in texts:
+            words = [truncation.fold(w) for w in x.split()]
+            states = truncation.walk(words)
+            plain += [truncation.contexts(words, i, title, states[i]) for i in range(len(words))]
+        for level in range(3):
+            pairs = {(p[level], k) for p, k in zip(plain, keys[level].tolist(), strict=True)}
+            assert len(pairs) == len({p for p, _ in pairs}) == len({k for _, k in pairs})
+
+
+def test_alignment_stays_in_its_band():
+    assert truncation.align("a b c d".split(), "a b c d e f".split()) == (0, 4)
+    assert truncation.align("a x c d".split(), "a b c d e f".split()) == (1, 4)
+    assert truncation.align("a c d e f g h i".split(), "a b c d e f g h i j".split()) == (1, 9)
+    assert truncation.goes_on("the shop is open on all days of the wee", "the shop is open on all days of the week") == "inside"
+    assert truncation.goes_on("the shop is open on all days of the week", "the shop is open on all days of the week") is None
+    assert truncation.goes_on("the shop is open on all days of the week", "The shop is open on all days of the week - call") == "after"
 
 
 def test_near_copies_of_every_text_of_a_form(spark):
@@ -272,17 +311,24 @@ def test_near_copies_of_every_text_of_a_form(spark):
     x = "the old pier on the north side of the island was closed for repairs and will stay so until the end of the month"
     y = "visitors of the library are asked to hand in their cards at the desk before they go into the reading room upstairs"
     texts = [x, f"{x}.", f"{x} ", f"{x} of may", y, f"{y} and then {' '.join(f'a{i}' for i in range(40))}", f"{y} today"]
-    got = {r.text for r in truncation.early_ends(spark.createDataFrame([("f", t) for t in texts], "field_name string, text string")).collect()}
-    assert got == {x, f"{x}.", f"{x} ", y}
+    got = _early(spark, texts)
+    assert got[y] is True
+    assert {t for t in got if t != f"{x}."} == {x, f"{x} ", y} and not got[x]  # the stopped copy shows that a sentence ends there
+
+
+def test_one_text_in_very_many_rows(spark):
+    t = "notice of the sale of an old boat that lies in the inner harbour"
+    assert _early(spark, [t] * 3000 + [f"{t} of Male"] * 2000) == {t: True}
 
 
 def test_copies_make_no_limit(spark):
-    rows = [("summary_en", f"Text number {i} is whole and ends with a stop here.") for i in range(300)] + [("summary_en", "The same text without a stop in very many rows")] * 200
-    _, limits = truncation.field_profile(spark.createDataFrame(rows, "field_name string, text string"))
+    profile = lambda rows: truncation.field_profile(spark.createDataFrame(rows, "field_no int, text string").withColumn("tid", truncation.text_id(F.col("field_no"), F.col("text"))))
+    rows = [(1, f"Text number {i} is whole and ends with a stop here.") for i in range(300)] + [(1, "The same text without a stop in very many rows")] * 200
+    _, limits = profile(rows)
     assert not limits
-    cut_at_40 = [("summary_en", f"{i:03d} this text goes on until its field ends and more"[:40]) for i in range(60)]
-    _, limits = truncation.field_profile(spark.createDataFrame(rows + cut_at_40, "field_name string, text string"))
-    assert limits == {"summary_en": {40}}
+    cut_at_40 = [(1, f"{i:03d} this text goes on until its field ends and more"[:40]) for i in range(60)]
+    _, limits = profile(rows + cut_at_40)
+    assert limits == {1: {40}}
 
 
 def test_terminality_finds_cuts(spark, tmp_path):
