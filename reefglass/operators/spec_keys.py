@@ -20,7 +20,7 @@ from reefglass.checkpoints import cut
 from reefglass.functions.text import plain
 from reefglass.functions.units import spelling_codes, unit_key
 from reefglass.operators.skew import HOT_SHARE, hot_join, hot_keys
-from reefglass.sources.tables import read_table
+from reefglass.sources.tables import fixed_rows, read_table
 
 MAX_BROADCAST_KEYS = 20_000
 #: "<key> in <unit>", "<key>_<unit>", "<key> (<unit>)", "<key> [<unit>]".
@@ -50,9 +50,9 @@ class Registry:
     @classmethod
     def load(cls, spark: SparkSession, data_dir: str) -> Registry:
         cols = ("key_id", "spec_key", "label_en", "label_dv", "datatype", "unit", "unit_code", "unit_aliases", "value_aliases")
-        rows = {r.spec_key: r for r in read_table(spark, data_dir, "spec_key", *cols).collect() if r.spec_key}
+        rows = {r.spec_key: r for r in fixed_rows(read_table(spark, data_dir, "spec_key", *cols)) if r.spec_key}
         attributes = sorted(rows.values(), key=lambda r: r.key_id)
-        units = {r.unit_code: (r.quantity, r.to_common_factor, r.to_common_offset) for r in read_table(spark, data_dir, "unit_code").collect()}
+        units = {r.unit_code: (r.quantity, r.to_common_factor, r.to_common_offset) for r in fixed_rows(read_table(spark, data_dir, "unit_code"))}
         return cls(attributes, units, spelling_codes(attributes))
 
     def scoped_units(self) -> dict[str, str]:

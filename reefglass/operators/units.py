@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from reefglass.checkpoints import cut
 from reefglass.functions import units as U
 from reefglass.operators.spec_keys import Registry, hot_documents, lookup, of_live_documents, resolve_keys
-from reefglass.sources.tables import local_table, read_table
+from reefglass.sources.tables import fixed_rows, local_table, read_table
 
 BIN = 0.25  #: width of a histogram bin, in natural logarithms
 LOW_BIN, HIGH_BIN = -60, 139  #: bins outside are clamped: 200 bins
@@ -42,7 +42,7 @@ def note_units(sources: DataFrame, registry: Registry) -> tuple[dict[str, str],
     """
     code = {s: c for s, codes in registry.spellings.items() if len(s) >= 4 for c in codes if c in registry.units}
     found: dict[str, str] = {}
-    rows = sources.select("source", "note").collect()
+    rows = fixed_rows(sources.select("source", "note"))
     for r in rows:
         words = [w.strip(".,;:()").lower() for w in (r.note or "").split()]
         i = 0
