@@ -1,13 +1,16 @@
 """Problem 9: per-document text statistics, and prose told from lists, tables and junk.
 
 1. One Arrow-batched pass reads each whole text once and writes its statistics (``STATS``): word
-   count, mean word length, symbol ratio, lines ending in punctuation, share of common words,
-   share of well-formed tokens, shares of the characters in list, table and prose lines, repetition.
+   count, mean word length, symbol ratio, lines ending in punctuation, share of common words, share of
+   well-formed tokens and of Latin words that can be spoken (a vowel, no five consonants running), shares
+   of the characters in list and table lines, repetition. What a token is, is found out once per
+   distinct token of a batch; the rest is counting in arrays. The language is that of most letters,
+   in Latin letters that of most function words; the label is not used.
 2. Per language, every statistic goes into a mergeable KLL quantile sketch (partial sketches are
    built per partition and merged, nothing is gathered); the sketches give percentiles and robust
    z-scores (median, quartiles). Percentiles are among all documents, z-scores are measured against
    the plain ones: those that pass no floor, so that many lists or much junk of a language do not
-   become its norm. There is one sketch row per language label, a fixed set.
+   become its norm. There is one sketch row per language, a fixed set.
 3. A document is flagged where a statistic lies in the tail that speaks against prose; the kind is
    decided from the flagged statistics, each with an absolute floor. Where no document is plain, the
    floors decide alone.
@@ -20,7 +23,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,21 +32,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefglass.checkpoints import cut
-from reefglass.llm.labels import language_label
 from reefglass.sources.tables import read_table
 
 STATS = (
     "n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "line_end_ratio", "common_ratio",
-    "well_formed_ratio", "list_ratio", "table_ratio", "repeat_ratio",
+    "well_formed_ratio", "spoken_ratio", "list_ratio", "table_ratio", "repeat_ratio",
 )
 #: Function words of the languages.
-COMMON = frozenset(
-    """the of and to in a is for on at by with from be will are that this it as an or has have not can may must which who when
-    where before after between each any all per was were been its their our your his her than under within without upon until
-    mi eve vey ge ah gai in ai emme kuraa kurumah huri dhen adhi nuvatha mihaaru aharu dhuvahu iru akah kuran jehey
-    މި އެ އެވެ ވެ ގެ އަދި ނުވަތަ ހުރި އާ އާއި އެކު އަށް ގައި އިން އަހަރު މަހު ދުވަހު އިރު ޖެހޭ ވޭ މީހުން އަންނަ
-    في من على إلى عن مع هذا هذه التي الذي أن إن كان كانت بعد قبل كل أو ثم لا ما لم قد يتم سوف حتى عند""".split()
-)
+COMMON = {
+    "en": frozenset(
+        """the of and to in a is for on at by with from be will are that this it as an or has have not can may must which who when
+        where before after between each any all per was were been its their our your his her than under within without upon until""".split()
+    ),
+    "dv-Latn": frozenset("mi eve vey ge ah gai in ai emme kuraa kurumah huri dhen adhi nuvatha mihaaru aharu dhuvahu iru akah kuran jehey".split()),
+    "dv": frozenset("މި އެ އެވެ ވެ ގެ އަދި ނުވަތަ ހުރި އާ އާއި އެކު އަށް ގައި އިން އަހަރު މަހު ދުވަހު އިރު ޖެހޭ ވޭ މީހުން އަންނަ".split()),
+    "ar": frozenset("في من على إلى عن مع هذا هذه التي الذي أن إن كان كانت بعد قبل كل أو ثم لا ما لم قد يتم سوف حتى عند".split()),
+}
+LANGUAGES = tuple(COMMON)
+_VOWEL = re.compile(r"[aeiouyáàâäéèêëíîïóôöúûü]")
+_CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
 _TOKEN = re.compile(
     r"""^["'“”‘’(«\[]*(?:[^\W\d_ހ-޿]+(?:['’\-/.&][^\W\d_]+)*|[ހ-޿]+(?:[-/'][ހ-޿]+)*|[ -]?[\d٠-٩]+(?:[.,:/\-٫٬][\d٠-٩]+)*(?:%|st|nd|rd|th|[a-zA-Z°²³]{1,3})?|[–—\-&]|&amp;|&nbsp;|&quot;|&\#39;)['’]?[)»\]"”’.,;:!?،؛؟…]*$""",
     re.VERBOSE,
@@ -60,21 +66,35 @@ def _cells(line: str) -> tuple[str, int] | None:
     s = line.strip()
     if s.count("|") >= 2:
         return "|", s.strip("|").count("|") + 1
-    if line.count("\t") >= 1:
+    if "\t" in line:
         return "\t", line.count("\t") + 1
-    for d, parts in (("  ", re.split(r" {2,}", s)), (";", s.split(";")), (",", s.split(","))):
-        if len(parts) >= 2 and not (d in ";," and re.search(rf"{d} ", s)) and max(len(c.split()) for c in parts) <= 8:
-            return d, len(parts)
+    for d in ("  ", ";", ","):
+        if d in s and not (d in ";," and re.search(rf"{d} ", s)):
+            parts = re.split(r" {2,}", s) if d == "  " else s.split(d)
+            if len(parts) >= 2 and max(len(c.split()) for c in parts) <= 8:
+                return d, len(parts)
     return None
 
 
+def _bare_items(lines: list[str], sizes: list[int], free: list[bool]) -> int:
+    """Characters in runs of four and more neighbouring short lines, none of which holds or ends a sentence."""
+    found = run = length = 0
+    for line, size, ok in zip([*lines, ""], [*sizes, 0], [*free, False], strict=True):
+        if ok and len(line.split()) <= 6 and line.rstrip()[-1:] not in ".!?؟۔" and not _SENTENCE.search(line[:-1]):
+            run, length = run + size, length + 1
+        else:
+            found += run if length >= 4 else 0
+            run = length = 0
+    return found
+
+
 def line_shares(text: str) -> tuple[float, float, float, int]:
     """(list share, table share, share of lines ending in punctuation, number of lines), shares by characters.
 
-    A table needs two neighbouring lines with the same delimiter; a list two bullets, or one line of
-    at least four short items between the same separators.
+    A table needs two neighbouring lines with the same delimiter; a list two bullets, one line of at
+    least four short items between the same separators, or four neighbouring short lines without a sentence.
     """
-    lines = [x for x in re.split(r"[\r\n ]+", text) if x.strip()]
+    lines = [x for x in re.split(r"[\r\n\u2028]+", text) if x.strip()]
     if not lines:
         return 0.0, 0.0, 0.0, 0
     cells = [_cells(x) for x in lines]
@@ -83,86 +103,162 @@ def line_shares(text: str) -> tuple[float, float, float, int]:
     total = sum(sizes)
     table = lst = 0
     n_bullets = sum(bullets)
-    ends = 0
+    ends = sum(x.rstrip().rstrip("'\")]”’»")[-1:] in _LINE_ENDS for x in lines)
+    free = [False] * len(lines)
     for i, x in enumerate(lines):
-        ends += bool(_STOP.search(x))
         c = cells[i]
-        near = [cells[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)]
+        near = [cells[j] for j in (i - 1, i + 1) if 0 <= j < len(lines)] if c else []
         if c and any(n and n[0] == c[0] and (c[0] in "|\t" or (abs(n[1] - c[1]) <= 2 and max(n[1], c[1]) >= 3) or (c[0] == "  " and n[1] == c[1])) for n in near) and not (bullets[i] and c[0] not in "|\t"):
             table += sizes[i]
             continue
         if bullets[i] and n_bullets >= 2:
             lst += sizes[i]
             continue
+        listed = False
         if not _SENTENCE.search(x[:-1]):
             for sep in (" / ", " | ", " • ", " · ", "; ", " – ", " - ", ", "):
-                items = x.split(sep)
+                items = x.split(sep) if sep in x else ()
                 if len(items) >= 4:
                     words = sorted(len(t.split()) for t in items)
                     if words[len(words) // 2] <= 5 and words[-1] <= 9 and len(items) * len(sep) * 12 > len(x) * 0.2:
                         lst += sizes[i]
+                        listed = True
                         break
+        free[i] = not listed
+    lst += _bare_items(lines, sizes, free)
     return lst / total, table / total, ends / len(lines), len(lines)
 
 
+_LINE_ENDS = frozenset(".!?؟۔…:")
+_MARKS = frozenset("|-•*/+□–◦▪")
+_WORD_EDGE = ".,;:!?()[]\"'،؛؟“”"
+
+
+def one_unit(text: str) -> bool:
+    """True if the text, blanks aside, is one unit three times and more, up to one character in twenty.
+
+    A period is where the first characters, or those of the middle, come again; it is tried on 64 places
+    before the whole text is compared, so any length of unit and text is looked at.
+    """
+    x = re.sub(r"\s+", "", text)
+    if len(x) < 8:
+        return False
+    same = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    n = len(same)
+    tried = set()
+    for start in (0, n // 3):
+        block = x[start : start + 4]
+        at = x.find(block, start + 1)
+        while at != -1 and at - start <= n // 3:
+            p = at - start
+            if p not in tried:
+                tried.add(p)
+                places = np.linspace(0, n - p - 1, 64).astype(np.int64)
+                if float(np.mean(same[places + p] == same[places])) > 0.85 and float(np.mean(same[p:] == same[:-p])) > 0.95:
+                    return True
+            at = x.find(block, at + 1)
+    return False
+
+
+def _word_facts(words: list[str]) -> np.ndarray:
+    """Per distinct token: well formed, letters, speakable, has Latin letters, a function word of any and of each language."""
+    out = np.zeros((len(words), 5 + len(LANGUAGES)))
+    for i, t in enumerate(words):
+        w = t.strip(_WORD_EDGE).lower()
+        latin = any("a" <= c <= "z" for c in w)
+        out[i, 0] = bool(_TOKEN.match(t) or _EMAIL.match(t))
+        out[i, 1] = len(w)
+        out[i, 2] = not latin or len(w) < 4 or "@" in w or bool(_VOWEL.search(w) and not _CONSONANTS.search(w))
+        out[i, 3] = latin
+        out[i, 5:] = [w in COMMON[x] for x in LANGUAGES]
+        out[i, 4] = out[i, 5:].any()
+    return out
+
+
+class _Kinds:
+    """Code points -> the class that counts: 0 other, 1 symbol or mark, 2 number, 3 separator; scripts as bits above."""
+
+    def __init__(self) -> None:
+        self.table = np.full(0x110000, 255, np.uint8)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        new = np.unique(points)
+        for p in new[self.table[new] == 255]:
+            c = unicodedata.category(chr(p))[0] if not 0xD800 <= p < 0xE000 else "C"
+            kind = {"S": 1, "P": 1, "N": 2, "Z": 3}.get(c, 3 if p in (9, 10, 13) else 0)
+            script = 1 if 0x780 <= p <= 0x7BF else 2 if 0x600 <= p <= 0x6FF and c == "L" else 3 if c == "L" else 0
+            self.table[p] = kind | script << 2
+        return self.table[points]
+
+
+def batch_statistics(texts: list[str | None], kinds: _Kinds) -> tuple[np.ndarray, list[str]]:
+    """(the values of ``STATS``, the language each text is written in or 'und').
+
+    What a token is, is found out once per distinct token of the batch; counts are array operations.
+    """
+    texts = ["" if t is None else t for t in texts]
+    split = [t.split() for t in texts]
+    size = np.array([len(x) for x in split], dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), size)
+    n = np.maximum(size, 1)
+    if len(owner):
+        code, words = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
+        facts = _word_facts(list(words))
+        keys = [w if any(c.isalnum() for c in w) else t for t in words for w in (t.strip(_WORD_EDGE).lower(),)]
+        key_code, key_names = pd.factorize(np.array(keys, dtype=object))
+        totals = np.stack([np.bincount(owner, facts[code, j], len(texts)) for j in range(facts.shape[1])], 1)
+        pair, times = np.unique(owner * len(key_names) + key_code[code], return_counts=True)
+        of, key = pair // len(key_names), pair % len(key_names)
+        distinct = np.bincount(of, minlength=len(texts))
+        mark = np.array([k in _MARKS for k in key_names], dtype=bool)
+        most = np.zeros(len(texts))
+        np.maximum.at(most, of[~mark[key]], times[~mark[key]])
+    else:
+        totals, distinct, most = np.zeros((len(texts), 5 + len(LANGUAGES))), np.zeros(len(texts)), np.zeros(len(texts))
+    repeat = np.where(size >= 4, np.maximum(most / n, np.where((size >= 12) & (distinct <= 6), 1 - distinct / n, 0.0)), 0.0)
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    kind = kinds.of(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+    char_owner = np.repeat(np.arange(len(texts)), length)
+    count = np.bincount(char_owner * 16 + kind, minlength=16 * len(texts))[: 16 * len(texts)].reshape(-1, 4, 4)  # text x script x kind
+    by_kind, by_script = count.sum(1), count.sum(2)
+    visible = np.maximum(1, length - by_kind[:, 3])
+    lines = np.array([line_shares(t) for t in texts]).reshape(-1, 4)
+    repeat = np.where((size > 0) & np.array([one_unit(t) for t in texts], dtype=bool), 1.0, repeat)
+    latin = np.where(totals[:, 6] > totals[:, 5], 1, 0)
+    lang = np.where(by_script[:, 1:].sum(1) == 0, -1, np.array([2, 3, -2])[by_script[:, 1:].argmax(1)])
+    lang = np.where(lang == -2, latin, lang)
+    table = np.stack([
+        length, size, lines[:, 3], totals[:, 1] / n, by_kind[:, 1] / visible, by_kind[:, 2] / visible, lines[:, 2], totals[:, 4] / n,
+        totals[:, 0] / n, np.where(totals[:, 3] > 0, 1 - (size - totals[:, 2]) / np.maximum(totals[:, 3], 1), 1.0), lines[:, 0], lines[:, 1], repeat,
+    ], 1).astype(float)
+    table[size == 0, 1:] = 0.0
+    return table, ["und" if x < 0 else LANGUAGES[x] for x in lang]
+
+
 def text_statistics(text: str | None) -> tuple[float, ...]:
     """The values of ``STATS`` for one text."""
-    if not text or not text.strip():
-        return (float(len(text or "")), *[0.0] * (len(STATS) - 1))
-    tokens = text.split()
-    n = len(tokens)
-    well = 0
-    letters = 0
-    common = 0
-    seen: Counter[str] = Counter()
-    for t in tokens:
-        if _TOKEN.match(t) or _EMAIL.match(t):
-            well += 1
-        w = t.strip(".,;:!?()[]\"'،؛؟“”").lower()
-        letters += len(w)
-        common += w in COMMON
-        seen[w if any(c.isalnum() for c in w) else t] += 1
-    counts = Counter(text)
-    kinds = Counter()
-    for ch, k in counts.items():
-        kinds[unicodedata.category(ch)[0]] += k
-    visible = max(1, len(text) - kinds["Z"] - sum(counts[c] for c in "\n\r\t"))
-    lst, table, ends, n_lines = line_shares(text)
-    repeat = 0.0
-    if n >= 4:
-        marks = {"|", "-", "•", "*", "/", "+", "□", "–", "◦", "▪"}
-        repeat = max(max((k for w, k in seen.items() if w not in marks), default=0) / n, 1 - len(seen) / n if n >= 12 and len(seen) <= 6 else 0.0)
-    squeezed = re.sub(r"\s+", "", text)
-    if len(squeezed) >= 8 and (len(seen) <= 16 or n <= 3):
-        same = np.frombuffer(squeezed.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        for width in range(1, min(90, len(squeezed) // 3) + 1):  # one unit repeated through the whole text
-            if float(np.mean(same[width:] == same[:-width])) > 0.95:
-                repeat = 1.0
-                break
-    return (
-        float(len(text)), float(n), float(n_lines), letters / n, kinds["S"] / visible + kinds["P"] / visible, kinds["N"] / visible,
-        ends, common / n, well / n, lst, table, repeat,
-    )
+    return tuple(batch_statistics([text], _Kinds())[0][0].tolist())
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang) -> (doc_id, lang, *STATS); lang is a known label or 'und'; one row per doc_id."""
+    """docs (doc_id, text) -> (doc_id, lang, *STATS); lang is the language the text is written in, or 'und'; one row per doc_id."""
     names = list(STATS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kinds = _Kinds()
         for pdf in batches:
-            out = pd.DataFrame([text_statistics(t) for t in pdf["text"]], columns=names, dtype=float)
-            out.insert(0, "lang", pdf["lang"].to_numpy())
+            values, lang = batch_statistics(pdf["text"].tolist(), kinds)
+            out = pd.DataFrame(values, columns=names, dtype=float)
+            out.insert(0, "lang", lang)
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce(language_label(F.col("lang")), F.lit("und")).alias("lang"), "text")
     schema = "doc_id long, lang string, " + ", ".join(f"{x} double" for x in names)
-    return rows.mapInPandas(run, schema).dropDuplicates(["doc_id"])
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, schema).dropDuplicates(["doc_id"])
 
 
 def sketches(stats: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """KLL sketches of the statistics: per language, and of all languages by merging those. A row per label, one row."""
+    """KLL sketches of the statistics: per language, and of all languages by merging those. A row per language, one row."""
     own = stats.groupBy("lang").agg(*[F.kll_sketch_agg_double(x).alias(f"k_{x}") for x in names])
     return own, own.agg(*[F.kll_merge_agg_double(f"k_{x}").alias(f"k_{x}") for x in names])
 
@@ -177,10 +273,10 @@ def _percentile(grid: str, x: str) -> Column:
 
 
 #: Smallest spread (as a standard deviation) that a statistic is measured against.
-SPREAD = {"well_formed_ratio": 0.05, "list_ratio": 0.05, "table_ratio": 0.05, "repeat_ratio": 0.05, "symbol_ratio": 0.02, "common_ratio": 0.05, "mean_word_length": 0.5, "line_end_ratio": 0.1}
+SPREAD = {"well_formed_ratio": 0.05, "spoken_ratio": 0.05, "list_ratio": 0.05, "table_ratio": 0.05, "repeat_ratio": 0.05, "symbol_ratio": 0.02, "common_ratio": 0.05, "mean_word_length": 0.5, "line_end_ratio": 0.1}
 TAIL = 3.5
 #: Values that speak against prose.
-MIXED, BROKEN, GARBLED, REPEATED = 0.5, 0.6, 0.36, 0.45
+MIXED, BROKEN, GARBLED, REPEATED, UNSPOKEN = 0.5, 0.6, 0.36, 0.45, 0.6
 
 
 def _structured() -> Column:
@@ -189,7 +285,7 @@ def _structured() -> Column:
 
 def plain(names: tuple[str, ...] = tuple(SPREAD)) -> Column:
     """True for the documents that pass no floor of the named statistics."""
-    floors = {"list_ratio": _structured, "well_formed_ratio": lambda: F.col("well_formed_ratio") < BROKEN, "repeat_ratio": lambda: F.col("repeat_ratio") > REPEATED}
+    floors = {"list_ratio": _structured, "well_formed_ratio": lambda: F.col("well_formed_ratio") < BROKEN, "spoken_ratio": lambda: F.col("spoken_ratio") < UNSPOKEN, "repeat_ratio": lambda: F.col("repeat_ratio") > REPEATED}
     return reduce(lambda a, x: a & ~floors[x](), [x for x in floors if x in names], F.lit(True))
 
 
@@ -208,7 +304,7 @@ def scored(stats: DataFrame, names: tuple[str, ...] = tuple(SPREAD)) -> DataFram
 
     grid = F.array(*[F.lit(i / 100) for i in range(101)])
     grids = own.select("lang", *[F.kll_sketch_get_quantile_double(F.col(f"k_{x}"), grid).alias(f"q_{x}") for x in names])
-    per_lang = grids.join(F.broadcast(centre(usual, "o", ["lang"])), "lang", "left")  # one row per language label
+    per_lang = grids.join(F.broadcast(centre(usual, "o", ["lang"])), "lang", "left")  # one row per language
     every = centre(merged, "a", [])  # one row
     out = stats.join(F.broadcast(per_lang), "lang").join(F.broadcast(every.withColumn("_one", F.lit(1))), F.lit(1) == F.col("_one"))
     return out.select(
@@ -236,8 +332,10 @@ def kind() -> Column:
     broken = tail(_low("well_formed_ratio"))
     garbled = broken & (F.col("well_formed_ratio") < GARBLED)
     repeated = tail(_high("repeat_ratio")) & (F.col("repeat_ratio") > REPEATED)
+    # words that cannot be spoken, among which no more function words than are usual
+    unspoken = tail(_low("spoken_ratio")) & (F.col("spoken_ratio") < UNSPOKEN) & tail(F.least("z_common_ratio", "za_common_ratio") < 0)
     return (
-        F.when((F.col("n_words") == 0) | garbled | (F.col("repeat_ratio") == 1.0), "junk")
+        F.when((F.col("n_words") == 0) | garbled | unspoken | (F.col("repeat_ratio") == 1.0), "junk")
         .when(_structured() & tail(_high("table_ratio")) & (F.col("table_ratio") > F.col("list_ratio")), "table")
         .when(_structured() & tail(_high("list_ratio")), "list")
         .when(repeated | (broken & (F.col("well_formed_ratio") < BROKEN)), "junk")
@@ -247,7 +345,7 @@ def kind() -> Column:
 
 def judged(spark: SparkSession, data_dir: str) -> DataFrame:
     """Statistics, percentiles, z-scores and text_kind of every document."""
-    stats = cut(statistics(read_table(spark, data_dir, "documents", "doc_id", "text", "lang")))
+    stats = cut(statistics(read_table(spark, data_dir, "documents", "doc_id", "text")))
     return scored(stats).withColumn("text_kind", kind())
 
 
