@@ -6,9 +6,9 @@ filled by Efraimidis-Spirakis sampling: every document gets the key -ln(u)/weigh
 mix and document, weight from the text's quality), and documents are taken in order of their keys
 while the running sum of tokens stays within the budget.
 
-Running sums are distributed: rows are range-partitioned and sorted by (mix, source, key), written to
-the checkpoint, summed per partition, and each partition starts from the sums before it; what reaches
-the driver is one row per partition and group. A source with a third of all rows spans many partitions.
+Running sums are distributed: rows are range-partitioned by (mix, source, key), written to the
+checkpoint, summed per partition, and each partition starts from the sums before it. Nothing but a row
+per mix and source reaches the driver. A source with a third of all rows spans many partitions.
 
 Defined results: sources are matched without regard to case, blanks and single misspellings, others
 and null are in no mix; a listed source without documents has share 0 and the other targets are
@@ -18,30 +18,41 @@ scaled up; documents without tokens are not selected; empty tables give no selec
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reefglass.checkpoints import cut
 from reefglass.llm.text_stats import _EMAIL, _TOKEN
 from reefglass.llm.tokens import TOKENIZER, token_sizes
-from reefglass.sources.tables import local_table, read_table
+from reefglass.sources.tables import fixed_rows, local_table, read_table
 
 SEED = 20
 ROWS_PER_PARTITION = 250_000
 CLOSING = 3
+STRETCH = 100
 
 
-def text_quality(text: str | None) -> float:
-    """A weight in (0, 1]: the squared share of well-formed words, lowered where few distinct words repeat."""
-    tokens = (text or "").split()
-    if not tokens:
-        return 0.01
-    well = sum(1 for t in tokens if _TOKEN.match(t) or _EMAIL.match(t)) / len(tokens)
-    distinct = len(set(tokens)) / len(tokens) if len(tokens) < 400 else min(1.0, len(set(tokens)) / 100)
-    return max(0.01, well * well * min(1.0, 0.2 + 2 * distinct))
+def text_quality(texts: list[str | None]) -> np.ndarray:
+    """Weights in (0, 1]: the squared share of well-formed words, lowered where few distinct words repeat.
+
+    Distinct words are counted in stretches of ``STRETCH`` words, so the measure is that of a long text and a short one alike.
+    """
+    split = [(t or "").split() for t in texts]
+    size = np.array([len(x) for x in split], dtype=np.int64)
+    if not size.sum():
+        return np.full(len(texts), 0.01)
+    owner = np.repeat(np.arange(len(texts)), size)
+    place = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    code, words = pd.factorize(np.array([w for ws in split for w in ws], dtype=object))
+    good = np.array([bool(_TOKEN.match(w) or _EMAIL.match(w)) for w in words], dtype=float)
+    well = np.bincount(owner, good[code], len(texts)) / np.maximum(size, 1)
+    stretch = owner * (int(size.max()) // STRETCH + 1) + place // STRETCH
+    first = np.unique(stretch * len(words) + code, return_index=True)[1]  # a distinct word of a stretch
+    distinct = np.bincount(owner[first], minlength=len(texts)) / np.maximum(size, 1)
+    return np.where(size > 0, np.maximum(0.01, well * well * np.minimum(1.0, 0.2 + 2 * distinct)), 0.01)
 
 
 def source_name(c: Column, known: list[str]) -> Column:
@@ -60,7 +71,7 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> list[dict]:
     """Per mix and source: budget, epochs and rest. mix_target has a fixed, small number of rows."""
     have = {r.source: (r.tokens, r.docs) for r in sizes.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).collect()}
     by: dict[int, list] = {}
-    for r in targets.dropDuplicates(["mix_id", "source"]).collect():
+    for r in fixed_rows(targets.dropDuplicates(["mix_id", "source"])):
         by.setdefault(r.mix_id, []).append(r)
     out = []
     for mix, rows in sorted(by.items()):
@@ -76,27 +87,19 @@ def budgets(sizes: DataFrame, targets: DataFrame) -> list[dict]:
 
 
 def running_sums(rows: DataFrame, partitions: int) -> DataFrame:
-    """rows (mix_id, source, doc_id, tokens, key, ...) plus before: the tokens of earlier rows of the mix and source."""
+    """rows (mix_id, source, doc_id, tokens, key, ...) plus before: the tokens of earlier rows of the mix and source.
+
+    Two levels: sums per range partition, running over the partitions of a group; then running within the partition.
+    """
     order = ("mix_id", "source", "key", "doc_id")
-    placed = cut(rows.repartitionByRange(partitions, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
-    sums = placed.groupBy("pid", "mix_id", "source").agg(F.sum("tokens").alias("t")).collect()  # partitions + groups rows
-    start: dict[tuple[int, int, str], int] = {}
-    total: dict[tuple[int, str], int] = {}
-    for r in sorted(sums, key=lambda r: r.pid):
-        start[r.pid, r.mix_id, r.source] = total.get((r.mix_id, r.source), 0)
-        total[r.mix_id, r.source] = start[r.pid, r.mix_id, r.source] + r.t
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[int, int, str], int] = {}
-        for pdf in batches:
-            for key, g in pdf.groupby(["pid", "mix_id", "source"], sort=False):
-                k = (int(key[0]), int(key[1]), key[2])
-                base = seen.get(k, start[k])
-                cum = g["tokens"].cumsum()
-                seen[k] = base + int(cum.iloc[-1])
-                yield g[["mix_id", "source", "doc_id", "tokens"]].assign(before=base + cum - g["tokens"])
-
-    return placed.mapInPandas(run, "mix_id int, source string, doc_id long, tokens long, before long")
+    part = ("pid", "mix_id", "source")
+    placed = cut(rows.repartitionByRange(partitions, *order).withColumn("pid", F.spark_partition_id()).select(*part, "key", "doc_id", "tokens"))
+    sums = placed.groupBy(*part).agg(F.sum("tokens").alias("t"))
+    earlier = Window.partitionBy("mix_id", "source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = sums.select(*part, F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*part).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("tokens").over(within), F.lit(0))
+    return placed.join(starts, [*part]).select("mix_id", "source", "doc_id", "tokens", before.alias("before"))
 
 
 def select_mix(sizes: DataFrame, plan: list[dict], rows: int) -> DataFrame:
@@ -140,7 +143,7 @@ def closing_documents(sums: DataFrame, rounds: int = CLOSING) -> list[tuple[int,
 
 def _mixed(spark: SparkSession, data_dir: str, tokenizer: str = TOKENIZER) -> tuple[DataFrame, list[dict]]:
     targets = read_table(spark, data_dir, "mix_target")
-    known = sorted({r.source for r in targets.select("source").collect() if r.source} | {r.source for r in read_table(spark, data_dir, "doc_source", "source").collect() if r.source})
+    known = sorted({r.source for t in (targets, read_table(spark, data_dir, "doc_source")) for r in fixed_rows(t.select("source")) if r.source})
     docs = read_table(spark, data_dir, "documents", "doc_id", "source", "text").withColumn("source", source_name(F.col("source"), known))
     sizes = cut(token_sizes(docs, tokenizer, text_quality))
     plan = budgets(sizes, targets)

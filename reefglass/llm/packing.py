@@ -22,34 +22,38 @@ from pyspark.sql import functions as F
 
 from reefglass.checkpoints import cut
 from reefglass.llm.tokens import TOKENIZER, token_sizes
-from reefglass.sources.tables import read_table
+from reefglass.sources.tables import fixed_rows, local_table, read_table
 
 ITEMS = 20_000
 FULL = 0.995
 ROUNDS = 3
+MAX_K = 100
+MAX_SIZES = 5_000_000  #: distinct sizes over all capacities, at most the sum of the capacities
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers that any packing needs: the best of several dual feasible functions."""
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """Containers that any packing needs: the best of two families of dual feasible functions.
+
+    Each function of a family gives a bound of its own. Of f_a every threshold is tried, of u_k every k up to ``MAX_K``.
+    """
     if not len(sizes):
         return 0
-    s = np.sort(sizes)
-    cum = np.concatenate([[0], np.cumsum(s)])
-    total = int(cum[-1])
-    best = -(-total // capacity)
-    half = int(np.searchsorted(s, capacity / 2, side="right"))
+    order = np.argsort(sizes, kind="stable")
+    s, n = np.asarray(sizes, dtype=np.int64)[order], (np.ones(len(sizes), np.int64) if counts is None else np.asarray(counts, dtype=np.int64)[order])
+    total, number = np.concatenate([[0], np.cumsum(s * n)]), np.concatenate([[0], np.cumsum(n)])
+    best = -(-int(total[-1]) // capacity)
     # f_a: sizes over capacity - a count as a whole container, sizes under a as nothing
-    for a in np.unique(s[:half])[:: max(1, half // 400)].tolist() + [capacity // 2]:
-        big = int(np.searchsorted(s, capacity - a, side="right"))
-        small = int(np.searchsorted(s, a, side="left"))
-        value = (len(s) - big) * capacity + int(cum[big] - cum[min(small, big)])
-        best = max(best, -(-value // capacity))
+    a = np.unique(np.append(s[s <= capacity / 2], capacity // 2))
+    big = np.searchsorted(s, capacity - a, side="right")
+    small = np.minimum(np.searchsorted(s, a, side="left"), big)
+    value = (number[-1] - number[big]) * capacity + total[big] - total[small]
+    best = max(best, int((-(-value // capacity)).max()))
     # u_k: sizes rounded to multiples of 1/k
-    for k in range(1, 33):
+    for k in range(1, MAX_K + 1):
         x = s * (k + 1)
         exact = x % capacity == 0
-        value = float(np.where(exact, s / capacity, (x // capacity) / k).sum())
-        best = max(best, int(np.ceil(value - 1e-9)))
+        value = float((np.where(exact, s / capacity, (x // capacity) / k) * n).sum())
+        best = max(best, int(np.ceil(value - 1e-6)))
     return best
 
 
@@ -140,12 +144,26 @@ def p7_containers(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Per capacity: containers, least possible number (total tokens over capacity), unused tokens and their share."""
-    p = packed_documents(spark, data_dir)
-    per = p.groupBy("pack_id", "capacity").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"))
+    """Per capacity: containers, the number that is certified to be needed, the gap between them, unused tokens and their share.
+
+    The bound is that of the whole collection: its items are counted per size, at most ``capacity`` sizes, and the counts reach the driver.
+    certified_partitions of partitions reach their own bound.
+    """
+    p = cut(packed_documents(spark, data_dir))
+    per = p.groupBy("pack_id", "capacity").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("items"), F.count_if(F.col("round") == -1).alias("whole"))
     bins = p.select("pack_id", "container_id").distinct().groupBy("pack_id").agg(F.count(F.lit(1)).alias("containers"))
-    return per.join(bins, "pack_id").select(
-        "pack_id", "capacity", "items", "tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"),
+    parts = p.where("round >= 0").select("pack_id", "round", "part", "bins", "bound").distinct()
+    parts = parts.groupBy("pack_id").agg(F.count(F.lit(1)).alias("partitions"), F.count_if(F.col("bins") == F.col("bound")).alias("certified_partitions"))
+    sizes: dict[tuple[int, int], list] = {}
+    for r in fixed_rows(p.where("round >= 0").groupBy("pack_id", "capacity", "tokens").agg(F.count(F.lit(1)).alias("n")), MAX_SIZES):
+        sizes.setdefault((r.pack_id, r.capacity), []).append((r.tokens, r.n))
+    bounds = [(pack, lower_bound(*np.array(x, dtype=np.int64).T[:1], capacity, np.array(x, dtype=np.int64).T[1])) for (pack, capacity), x in sizes.items()]
+    certified = local_table(spark, bounds, pack_id="int32", rest_bound="int64")
+    out = per.join(bins, "pack_id").join(parts, "pack_id", "left").join(F.broadcast(certified), "pack_id", "left")
+    out = out.withColumn("certified_bound", F.col("whole") + F.coalesce("rest_bound", F.lit(0)))
+    return out.select(
+        "pack_id", "capacity", "items", "tokens", "containers", "certified_bound", (F.col("containers") - F.col("certified_bound")).alias("gap"),
+        F.coalesce("partitions", F.lit(0)).alias("partitions"), F.coalesce("certified_partitions", F.lit(0)).alias("certified_partitions"),
         (F.col("containers") * F.col("capacity") - F.col("tokens")).alias("unused_tokens"),
         F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("unused_share"),
     )

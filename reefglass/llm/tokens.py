@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 TOKENIZER = os.environ.get("REEFGLASS_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: how these vocabularies split text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECE = 200_000  #: characters encoded at once, cut at white space
 
 
 def encoder(path: str = TOKENIZER):
@@ -27,35 +26,23 @@ def encoder(path: str = TOKENIZER):
 
 
 def count_tokens(enc, text: str | None) -> int:
-    """Tokens of the whole text; long texts are encoded in pieces cut before white space."""
-    if not text:
-        return 0
-    text = text.encode("utf-8", "replace").decode("utf-8")
-    if len(text) <= PIECE:
-        return len(enc.encode_ordinary(text))
-    total = start = 0
-    while start < len(text):
-        end = min(len(text), start + PIECE)
-        if end < len(text):
-            gap = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end))
-            end = gap if gap > start else end
-        total += len(enc.encode_ordinary(text[start:end]))
-        start = end
-    return total
+    """Tokens of the whole text, however long; 0 for null."""
+    return len(enc.encode_ordinary(text.encode("utf-8", "replace").decode("utf-8"))) if text else 0
 
 
 def token_sizes(docs: DataFrame, path: str = TOKENIZER, quality=None) -> DataFrame:
     """docs (doc_id, source, text) -> (doc_id, source, tokens, weight), one row per doc_id.
 
-    ``quality`` maps a text to a positive weight (1 if not given). Null and empty texts have 0 tokens.
+    ``quality`` maps a batch of texts to positive weights (1 if not given). Null and empty texts have 0 tokens.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
         for pdf in batches:
+            texts = pdf["text"].tolist()
             yield pd.DataFrame({
-                "doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [count_tokens(enc, t) for t in pdf["text"]],
-                "weight": [1.0 if quality is None else float(quality(t)) for t in pdf["text"]],
+                "doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [count_tokens(enc, t) for t in texts],
+                "weight": 1.0 if quality is None else quality(texts),
             })
 
     rows = docs.select("doc_id", "source", "text").where(F.col("doc_id").isNotNull())

@@ -31,7 +31,7 @@ from reefglass.checkpoints import cut
 from reefglass.functions.text import ASCII_DIGITS, FILLERS, OTHER_DIGITS, plain
 from reefglass.operators.skew import hot_join, hot_keys
 from reefglass.operators.spec_keys import Registry, hot_documents, of_live_documents, resolve_keys
-from reefglass.sources.tables import read_table
+from reefglass.sources.tables import fixed_rows, read_table
 
 MAX_ENTRIES = 100_000
 THRESHOLD, MARGIN = 0.65, 0.12
@@ -254,12 +254,9 @@ def map_values(rows: DataFrame, entries: list[tuple[str, int, str, str | None]],
 
 
 def reference_lists(spark: SparkSession, data_dir: str) -> list[tuple[str, int, str, str | None]]:
-    """The entries of all lists, on the driver. The table is fixed; its size is checked before it is gathered."""
+    """The entries of all lists, on the driver. The table is fixed; more than ``MAX_ENTRIES`` rows are refused, not gathered."""
     table = read_table(spark, data_dir, "ref_value", "spec_key", "ref_id", "value_en", "value_dv")
-    n = table.count()
-    if n > MAX_ENTRIES:
-        raise ValueError(f"reference lists of {n} entries are too large to travel with every task")
-    return [tuple(r) for r in table.where("spec_key is not null and ref_id is not null").collect()]
+    return [tuple(r) for r in fixed_rows(table.where("spec_key is not null and ref_id is not null"), MAX_ENTRIES)]
 
 
 def matched_values(spark: SparkSession, data_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -428,6 +428,23 @@ def test_mix_reaches_targets(spark):
     assert some.doc_id.mod(2).mean() > 0.6  # the heavier documents come first
 
 
+def test_quality_is_the_same_for_long_and_short_texts():
+    """A text repeated to any length keeps its weight; repetition within a stretch lowers it."""
+    rng = random.Random(6)
+    words = [f"word{chr(97 + i % 26)}{'abcdefghij'[i // 26]}" for i in range(100)]
+    base = " ".join(rng.sample(words, 100))
+    a, b, c, junk, none = mixing.text_quality([base, " ".join([base] * 4), " ".join([base] * 40), "buy now " * 50, None])
+    assert a == b == c and junk < 0.5 * a and none == 0.01
+    assert mixing.text_quality([]).size == 0 and list(mixing.text_quality(["", None])) == [0.01, 0.01]
+
+
+def test_bound_of_counted_sizes_is_that_of_the_items():
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 500, 3000)
+    values, counts = np.unique(sizes, return_counts=True)
+    assert packing.lower_bound(sizes, 512) == packing.lower_bound(values, 512, counts)
+
+
 def test_running_sums_equal_a_sorted_scan(spark):
     rng = random.Random(9)
     rows = [(1 + i % 2, "hot" if i % 3 else "b", i, rng.randint(1, 9), rng.choice([0.1, 0.2, rng.random()])) for i in range(3000)]
@@ -461,6 +478,8 @@ def test_token_counts_of_long_texts_are_whole():
         ("The price was lowered because the lease ends soon. Forms are available during office hours from the council.", "prose"), ("An item\n- steel rods\n- paint drums\n- two keys", "list"), ("1) copper cable\n2) wall fans\n3) street lamps", "list"),
         ("a police report / hospital linen / street lamps / garden hoses / steel rods", "list"), ("Item name\tQuantity\nsteel rods\t3\npaint drums\t12.50", "table"), ("Item name,Quantity,Unit price\nwater pumps,47,259.14\nwall fans,3,14", "table"),
         ("| Item | Price |\n|---|---|\n| rods | 3 |", "table"), ("Item name        Quantity\nwall fans        3\nwater pumps      44", "table"), ("¤■9%}/4\\>{}@■*$}^#75 >+■%§+@\\&@388", "junk"), ("click here now! " * 30, "junk"), ("", "junk"), (None, "junk"),
+        ("qdlvgf fdzghwvdgfkj jkzqxjdvlf hxxdpffkjdap gvcz qjjlaszlsajkjq vlzjpwcdq fksjdjfhfcdp ajwhkc", "junk"), ("Steel rods\npaint drums 12\ntwo keys\nwall fans 3\nhospital linen", "list"), ("ބޮކްކުރާ 2\nއާރު ފަން\nގާޑިޔާ 50\nއޮފީސް މޭޒު", "list"),
+        ("this unit of more than ninety characters comes again and again, and there is not one other thing to be read in it at all; " * 4, "junk"),
         ("Bids must reach the office\nLate bids will not be opened, and they will be returned\nThe fee of MVR 45,249 and 8,169 is paid at the counter", "prose"),
     ],
 )

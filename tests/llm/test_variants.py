@@ -12,8 +12,6 @@ Q = llm.queries()
 @pytest.mark.parametrize("variant", ["plain", "empty", "all_empty", "nulls", "extra", "one_key"])
 @pytest.mark.parametrize("name", sorted(Q))
 def test_variants(spark, variants, name, variant):
-    if not name.endswith("_found") and variant in ("extra", "one_key", "empty"):
-        name = name if name in ("p7_containers", "p8_selection") else pytest.skip("covered by the found query")
     rows = Q[name](spark, variants[variant]).collect()
     if variant == "all_empty" or (variant == "empty" and name != "p8_shares"):
         assert not rows
