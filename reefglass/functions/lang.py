@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Latin keyboard key -> Thaana letter or sign, in code point order from U+0780.
 KEYS = "hSnrbLkwvmfdtlgNsDzTypjcXHKJRCMYZBGQFVaAiIuUeEoOq"
 THAANA = "".join(chr(0x780 + i) for i in range(len(KEYS)))
-#: Primary Latin reading of U+0780 .. U+07B0, in order.
-READINGS = "h sh n r b lh k _ v m f dh th l g gn s d z t y p j ch t h kh z z sh s z t z a gh q w a aa i ee u oo e ey o oa _".split()
+#: The Latin readings of U+0780 .. U+07B0, the primary one first; the sukun has none.
+READINGS = {
+    "ހ": ("h",), "ށ": ("sh", "s"), "ނ": ("n",), "ރ": ("r",), "ބ": ("b",), "ޅ": ("lh", "l"),
+    "ކ": ("k",), "އ": (), "ވ": ("v", "w"), "މ": ("m",), "ފ": ("f",), "ދ": ("dh", "d"),
+    "ތ": ("th", "t"), "ލ": ("l",), "ގ": ("g",), "ޏ": ("gn", "n"), "ސ": ("s",), "ޑ": ("d", "dh"),
+    "ޒ": ("z",), "ޓ": ("t", "th"), "ޔ": ("y",), "ޕ": ("p",), "ޖ": ("j",), "ޗ": ("ch", "c"),
+    "ޘ": ("t",), "ޙ": ("h",), "ޚ": ("kh", "h"), "ޛ": ("z", "dh"), "ޜ": ("z",), "ޝ": ("sh", "s"),
+    "ޞ": ("s",), "ޟ": ("z", "d"), "ޠ": ("t",), "ޡ": ("z",), "ޢ": ("a",), "ޣ": ("gh", "g"),
+    "ޤ": ("q", "k"), "ޥ": ("w", "v"), "ަ": ("a",), "ާ": ("aa", "a"), "ި": ("i",), "ީ": ("ee", "i"),
+    "ު": ("u",), "ޫ": ("oo", "u"), "ެ": ("e",), "ޭ": ("ey", "e"), "ޮ": ("o",), "ޯ": ("oa", "o"),
+    "ް": (),
+}
 #: Words and letter pairs that mark Dhivehi written in Latin letters.
 MARKER_WORDS = (
     "beynun beynunvaa vikkan vikkanee vikkaa gannan hoadhan kuyyah hunna huri hifun dhinun dhookuran libey libeyne nulibey "
@@ -47,6 +60,19 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(normalize_text(c), r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
 
 
+def raw_tokens(c: Column) -> Column:
+    """The words of ``tokens`` in the case they were typed in."""
+    c = F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, ""), "٠١٢٣٤٥٦٧٨٩", "0123456789")
+    return F.filter(F.split(c, r"[^\p{L}\p{M}\p{N}]+"), lambda t: t != "")
+
+
+def words_of(text: str) -> list[str]:
+    """``tokens`` of a Python string."""
+    import regex
+
+    return [w.lower() for w in regex.split(r"[^\p{L}\p{M}\p{N}]+", regex.sub(_ZERO_WIDTH, "", text)) if w]
+
+
 def decode_keys(c: Column) -> Column:
     """Text typed on the Latin layout in Thaana; null if a character has no key or none was mapped."""
     ok = c.rlike(rf"^[{KEYS}\s0-9\-/.,()]+$") & c.rlike(f"[{KEYS}]")
@@ -92,7 +118,7 @@ def query_script(c: Column) -> Column:
 
 def translit_dv_to_latin(c: Column) -> Column:
     """Primary Latin reading of every Thaana letter, other characters as they are."""
-    table = F.create_map(*[x for ch, r in zip(THAANA, READINGS, strict=True) for x in (F.lit(ch), F.lit("" if r == "_" else r))])
+    table = F.create_map(*[x for ch, r in READINGS.items() for x in (F.lit(ch), F.lit(r[0] if r else ""))])
     return F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
 
 
@@ -223,37 +249,37 @@ def chunks(c: Column, size: int = 3500) -> Column:
     return F.aggregate(sentences, start, add)
 
 
-#: All Latin readings of U+0780 .. U+07B0, in order, alternatives after a comma.
-ALL_READINGS = "h sh,s n r b lh,l k _ v,w m f dh,d th,t l g gn,n s d,dh z t,th y p j ch,c t h kh,h z,dh z sh,s s z,d t z a gh,g q,k w,v a aa,a i ee,i u oo,u e ey,e o oa,o _".split()
 MAX_VARIANTS, MAX_TOKEN = 24, 24
 
 
 def thaana_variants(token: str) -> list[str]:
-    """Thaana spellings of a word in Latin letters: longest readings first, at most 24, otherwise the first reading only."""
-    word = (token or "").lower()[: MAX_TOKEN + 1]
+    """Thaana spellings of a word in Latin letters, all of them if they are at most 24, otherwise that of the first letters only.
+
+    The longest readings go first; a word with a letter that is no reading has none.
+    """
+    word = (token or "").lower()
     if not word or len(word) > MAX_TOKEN:
         return []
-    table: dict[str, list[str]] = {}
-    for ch, readings in zip(THAANA, ALL_READINGS, strict=True):
-        for r in readings.split(","):
-            if r != "_":
-                table.setdefault(r, []).append(ch)
-    pieces, i = [], 0
+    letters: dict[str, list[str]] = {}
+    for ch, readings in READINGS.items():
+        for r in readings:
+            letters.setdefault(r, []).append(ch)
+    choices, i = [], 0
     while i < len(word):
-        for n in (2, 1):
-            if word[i : i + n] in table and i + n <= len(word):
-                pieces.append(table[word[i : i + n]])
-                i += n
-                break
-        else:
-            pieces.append([word[i]])
-            i += 1
-    count = 1
-    for p in pieces:
-        count *= len(p)
-    if count > MAX_VARIANTS:
-        pieces = [p[:1] for p in pieces]
-    out = [""]
-    for p in pieces:
-        out = [a + b for a in out for b in p]
-    return out
+        n = next((n for n in (2, 1) if word[i : i + n] in letters and i + n <= len(word)), 0)
+        if not n:
+            return []
+        choices.append(letters[word[i : i + n]])
+        i += n
+    return _spellings(choices)
+
+
+def latin_variants(text: str) -> list[str]:
+    """Latin spellings of a Thaana text, all of them if they are at most 24, otherwise the primary one only."""
+    return _spellings([list(READINGS[ch]) or [""] if ch in READINGS else [ch] for ch in text]) if text else []
+
+
+def _spellings(choices: list[list[str]]) -> list[str]:
+    if math.prod(len(c) for c in choices) > MAX_VARIANTS:
+        choices = [c[:1] for c in choices]
+    return ["".join(c) for c in itertools.product(*choices)]

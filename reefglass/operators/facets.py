@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reefglass import config
-from reefglass.operators.filters import Facet, json_array, json_scalar
+from reefglass.operators.filters import Facet, condition, json_array, json_scalar
 
 
 def enum_counts(docs: DataFrame, value: Column, top: int = 12) -> DataFrame:
@@ -59,6 +59,8 @@ def static_facets(docs: DataFrame, facets: tuple[Facet, ...], as_of: Column) ->
         else:
             values = F.array((F.col(f.path) if f.store == "column" else json_scalar(f.path)).cast("string"))
         entries.append(_labelled(values, f))
+    if not entries:
+        entries = [F.array().cast("array<struct<key:string,top:int,value:string>>")]
     long = docs.select(F.inline(F.concat(*entries))).where("value is not null and value <> ''")
     counted = long.groupBy("key", "top", "value").agg(F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy("key").orderBy(F.desc("n"), "value")
@@ -77,6 +79,40 @@ def toggles(docs: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("n")) for k in conditions]))).where("n > 0")
 
 
+PAGE_SCHEMA = ("key", "widget", "part", "value", "n", "rank", "lo", "hi")
+
+
+def split_ranges(docs: DataFrame, f: Facet) -> DataFrame:
+    """(part, lo, hi, n) of a range facet, one row for each part in which its values can be compared."""
+    number = F.col(f.path).cast("double") if f.store == "column" else json_scalar(f.path).try_cast("double")
+    part = F.concat_ws("/", *[F.upper(F.coalesce(F.col(c) if c in docs.columns else json_scalar(c), F.lit(""))) for c in f.split_by]) if f.split_by else F.lit("")
+    return docs.select(part.alias("part"), number.alias("x")).where("x is not null").groupBy("part").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def page_facets(docs: DataFrame, facets: tuple[Facet, ...], as_of: Column, cells: DataFrame | None = None, kinds: dict[str, str] | None = None) -> DataFrame:
+    """(key, widget, part, value, n, rank, lo, hi): every facet of a page over its candidates.
+
+    Checkboxes give their commonest values, ranges their ends per part, toggles that hold anywhere their number. With cells, the
+    attributes worth offering (``discover``) are added as facets of their own, in the order of their scores.
+    """
+    null = F.lit(None)
+    boxes = static_facets(docs, facets, as_of).select("key", F.lit("checkbox").alias("widget"), F.lit("").alias("part"), "value", "n", "rank", null.cast("double").alias("lo"), null.cast("double").alias("hi"))
+    out = [boxes]
+    for f in facets:
+        if f.widget == "range" and f.store != "spec":
+            out.append(split_ranges(docs, f).select(F.lit(f.key).alias("key"), F.lit("range").alias("widget"), "part", null.cast("string").alias("value"), "n", null.cast("int").alias("rank"), "lo", "hi"))
+    conditions = {f.key: condition(f, True, as_of) for f in facets if f.widget == "toggle" and f.store != "spec"}
+    if conditions:
+        held = toggles(docs, conditions)
+        out.append(held.select("key", F.lit("toggle").alias("widget"), F.lit("").alias("part"), F.lit("true").alias("value"), "n", null.cast("int").alias("rank"), null.cast("double").alias("lo"), null.cast("double").alias("hi")))
+    if cells is not None:
+        mine = cells.join(docs.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi")
+        found = discover(mine, kinds or {}, docs.count()) if kinds else None
+        if found is not None:
+            out.append(found.select(F.col("spec_key").alias("key"), F.lit("discovered").alias("widget"), F.lit("").alias("part"), null.cast("string").alias("value"), F.col("documents").alias("n"), null.cast("int").alias("rank"), F.col("coverage").alias("lo"), F.col("score").alias("hi")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def dominant_category(docs: DataFrame, share: float = config.DISCOVERY["dominant"]) -> DataFrame:
     """(category, n, share) of the commonest leaf if it holds the share of all rows, blank ones counted in."""
     total = docs.agg(F.count(F.lit(1)).alias("total"))

@@ -17,31 +17,44 @@ class FilterError(ValueError):
 
 @dataclass(frozen=True)
 class Facet:
-    """One filterable and countable attribute. store: column, json, json_array or spec."""
+    """One filterable and countable attribute. store: column, json, json_array or spec.
+
+    split_by: columns without which the values of a range cannot be compared (a price needs its currency).
+    """
 
     key: str
     widget: str  # checkbox, range or toggle
     store: str
     path: str
     top: int = 12
+    split_by: tuple[str, ...] = ()
+
+
+def _box(key: str, store: str = "json", path: str | None = None, top: int = 12) -> Facet:
+    return Facet(key, "checkbox", store, path or key, top)
 
 
+_PLACE = _box("location", "column", "island")
 #: Facets of the tabs, in the order shown.
 TABS: dict[str, tuple[Facet, ...]] = {
     "job": (
-        Facet("category_leaf", "checkbox", "column", "category_leaf"), Facet("deadline", "checkbox", "column", "expires_at"),
-        Facet("island", "checkbox", "column", "island", 20), Facet("views", "range", "json", "views"), Facet("job_title", "checkbox", "spec", "job_title", 20),
+        _box("job_category"), _box("position_type"), Facet("net_estimate", "range", "json", "estimated_net_min"), _box("salary_state", path="compensation.salary_state"), _box("employer", top=20), _box("grade"),
+        _box("category_leaf", "column"), _box("deadline", "column", "expires_at"), _box("island", "column", top=20), _PLACE, Facet("views", "range", "json", "views"), _box("job_title", "spec", top=20),
     ),
     "property": (
-        Facet("price", "range", "column", "price"), Facet("island", "checkbox", "column", "island", 20), Facet("atoll", "checkbox", "column", "atoll"),
-        Facet("has_images", "toggle", "column", "thumbnails"), Facet("bedrooms", "range", "spec", "bedrooms"), Facet("has_lift", "toggle", "spec", "has_lift"),
+        _box("listing_kind"), Facet("price", "range", "column", "price", split_by=("currency", "price_period")), _box("unit_kind", path="occupancy.unit_kind"), Facet("is_shared", "toggle", "json", "occupancy.is_shared"),
+        Facet("bedrooms", "range", "spec", "bedrooms"), _box("bathrooms"), _box("furnishing"), _box("neighborhood", top=20), _box("island", "column", top=20), _box("atoll", "column"), Facet("has_lift", "toggle", "spec", "has_lift"),
+        Facet("square_feet", "range", "json", "square_feet"), _box("tenant_preference", "json_array"), Facet("has_images", "toggle", "column", "thumbnails"),
     ),
     "shopping": (
-        Facet("price", "range", "column", "price"), Facet("category_leaf", "checkbox", "column", "category_leaf", 20), Facet("has_images", "toggle", "column", "thumbnails"),
-        Facet("category_path", "checkbox", "json_array", "category_path"), Facet("brand", "checkbox", "spec", "brand", 20),
+        Facet("price", "range", "column", "price", split_by=("currency",)), _box("category_leaf", "column", top=20), _box("condition"), _box("brand", "spec", top=20), _box("seller_type"), Facet("has_images", "toggle", "column", "thumbnails"),
+        _PLACE, _box("category_path", "json_array"),
     ),
-    "news": (Facet("source", "checkbox", "column", "source", 20), Facet("views", "range", "json", "views")),
-    "all": (Facet("doc_type", "checkbox", "column", "doc_type"), Facet("island", "checkbox", "column", "island")),
+    "news": (
+        _box("office", top=20), _box("announcement_type"), Facet("has_attachments", "toggle", "json", "documents"), Facet("is_tender", "toggle", "json", "is_tender"), _box("source", "column", top=20), Facet("views", "range", "json", "views"),
+    ),
+    "all": (_PLACE, _box("doc_type", "column"), _box("island", "column")),
+    "images": (_box("doc_type", "column"),),
 }
 YES, NO = ("true", "1", "yes"), ("false", "0", "no")
 
@@ -113,6 +126,9 @@ def condition(facet: Facet, value: object, as_of: Column) -> Column:
     if facet.path == "thumbnails":
         n = F.coalesce(F.size("thumbnails"), F.lit(0))
         return (n > 0) if value else (n <= 0)
+    if facet.key == "has_attachments":
+        n = F.size(json_array(facet.path))
+        return (n > 0) if value else (n <= 0)
     if facet.store == "json_array":
         return F.arrays_overlap(json_array(facet.path), F.array(*[F.lit(v) for v in value]))  # type: ignore[union-attr]
     expr = F.col(facet.path) if facet.store == "column" else json_scalar(facet.path)

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from reefglass.functions import lang
 from reefglass.operators import facets as fc
 from reefglass.operators import filters as flt
-from reefglass.operators.search import documents
+from reefglass.operators.search import documents, reposts
 from reefglass.plans.registry import AS_OF, AS_OF_US, query
 from reefglass.sources.tables import read_table
 
-_COLS = ("id", "source", "doc_type", "title_en", "title_dv", "summary_en", "price", "island", "atoll", "expires_at", "is_active", "attrs", "thumbnails", "category_leaf", "dedupe_key")
+_COLS = ("id", "source", "doc_type", "title_en", "title_dv", "summary_en", "price", "currency", "island", "atoll", "published_at", "expires_at", "is_active", "attrs", "thumbnails", "category_leaf", "dedupe_key")
 _D = f"d as (select distinct {', '.join(_COLS)} from search_document)"
 _SOON = AS_OF_US + 7 * 86_400_000_000
 
@@ -55,9 +55,11 @@ def filter_json_scalar(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).where(flt.json_scalar("views").isin("100", "200", "300")).select("id", flt.json_scalar("views").alias("views"))
 
 
-@query("base_predicate", f"with {_D} select doc_type, count(*)::bigint as n from d where is_active group by doc_type")
+@query("base_predicate", f"""with {_D}, dup as (select id from (select id, row_number() over (partition by dedupe_key order by published_at is null desc, published_at desc, id desc) as rn from d where coalesce(dedupe_key, '') <> '') where rn > 1)
+select doc_type, count(*)::bigint as n from d where is_active and id not in (select id from dup) group by doc_type""")
 def base_predicate(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).where("is_active").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
+    """What a search may show: active documents that are no flagged reposts."""
+    return _docs(spark, d).where("is_active").join(reposts(read_table(spark, d, "search_document", "id", "dedupe_key", "published_at")), "id", "left_anti").groupBy("doc_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("title_by_language", f"with {_D} select id, case when trim(coalesce(title_dv, '')) <> '' then title_dv else coalesce(title_en, '') end as title, trim(coalesce(title_dv, '')) = '' as translated from d")
@@ -151,13 +153,46 @@ def facet_toggle(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("facet_all_static", f"""with {_D}, v as (
-select 'category_leaf' as key, 12 as top, category_leaf as value from d union all select 'deadline', 12, {_BUCKET} from d union all select 'island', 20, island from d),
+select 'category_leaf' as key, 12 as top, category_leaf as value from d union all select 'deadline', 12, {_BUCKET} from d union all select 'island', 20, island from d union all select 'location', 12, island from d
+union all select k, n, json_extract_string(attrs, '$.' || p) from d, (values ('job_category', 12, 'job_category'), ('position_type', 12, 'position_type'), ('salary_state', 12, 'compensation.salary_state'), ('employer', 20, 'employer'), ('grade', 12, 'grade')) j(k, n, p)),
 c as (select key, top, value, count(*)::bigint as n from v where coalesce(value, '') <> '' group by all),
 r as (select *, row_number() over (partition by key order by n desc, value)::integer as rank from c) select key, value, n, rank from r where rank <= top""")
 def facet_all_static(spark: SparkSession, d: str) -> DataFrame:
     return fc.static_facets(_docs(spark, d), flt.TABS["job"], _as_of())
 
 
+def _page_sql(tab: str) -> str:
+    boxes, rest = [], []
+    for f in flt.TABS[tab]:
+        js = f"json_extract_string(attrs, '$.{f.path}')"
+        if f.store == "spec":
+            continue
+        if f.widget == "range":
+            parts = [f"upper(coalesce({c if c in _COLS else f"json_extract_string(attrs, '$.{c}')"}, ''))" for c in f.split_by]
+            x = f"{f.path}::double" if f.store == "column" else f"try_cast({js} as double)"
+            rest.append(f"select '{f.key}' as key, 'range' as widget, {" || '/' || ".join(parts) or "''"} as part, null::varchar as value, count(x)::bigint as n, null::integer as rank, min(x) as lo, max(x) as hi from (select *, {x} as x from t) where x is not null group by part")
+        elif f.widget == "toggle":
+            cond = "len(thumbnails) > 0" if f.path == "thumbnails" else f"coalesce(len(json_extract_string(attrs, '$.{f.path}[*]')), 0) > 0" if f.key == "has_attachments" else f"{js} = 'true'"
+            rest.append(f"select '{f.key}', 'toggle', '', 'true', count(*)::bigint, null, null, null from t where {cond} having count(*) > 0")
+        else:
+            v = _BUCKET if f.key == "deadline" else f.path if f.store == "column" else f"unnest(json_extract_string(attrs, '$.{f.path}[*]'))" if f.store == "json_array" else js
+            boxes.append(f"select '{f.key}' as key, {f.top} as top, {v} as value from t")
+    where = "is_active" if tab == "all" else f"is_active and doc_type = '{tab}'"
+    ranked = f"select *, row_number() over (partition by key order by n desc, value)::integer as rank from (select key, top, value, count(*)::bigint as n from ({" union all ".join(boxes)}) where coalesce(value, '') <> '' group by all)"
+    return f"with {_D}, t as (select * from d where {where}) " + " union all ".join([f"select key, 'checkbox' as widget, '' as part, value, n, rank, null::double as lo, null::double as hi from ({ranked}) where rank <= top", *rest])
+
+
+def _page(tab: str) -> None:
+    @query(f"facet_page_{tab}", _page_sql(tab))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = _docs(spark, d).where("is_active")
+        return fc.page_facets(docs if tab == "all" else docs.where(F.col("doc_type") == tab), flt.TABS[tab], _as_of())
+
+
+for _tab in ("job", "property", "shopping", "news", "all"):
+    _page(_tab)
+
+
 @query("facet_dominant_category", f"""with {_D}, p as (select category_leaf as category, count(*)::bigint as n from d where doc_type = 'property' and coalesce(category_leaf, '') <> '' group by 1 order by n desc, 1 limit 1)
 select category, n, round(n / (select count(*) from d where doc_type = 'property'), 6) as share from p where n / (select count(*) from d where doc_type = 'property') >= 0.7""")
 def facet_dominant_category(spark: SparkSession, d: str) -> DataFrame:

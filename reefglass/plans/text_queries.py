@@ -48,7 +48,7 @@ def token_counts(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d, "title_en").select(F.explode(lang.tokens(F.col("title_en"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-_READ = " ".join(f"when '{ch}' then '{'' if r == '_' else r}'" for ch, r in zip(lang.THAANA, lang.READINGS, strict=True))
+_READ = " ".join(f"when '{ch}' then '{r[0] if r else ''}'" for ch, r in lang.READINGS.items())
 
 
 @query("translit_latin", f"with {_T} select id, array_to_string(list_transform(string_split(coalesce(title_dv, ''), ''), lambda c: case c {_READ} else c end), '') as latin from d where title_dv is not null and title_dv <> ''")
@@ -141,19 +141,12 @@ def extract_dates(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.explode(ex.dates(F.col("text"))).alias("iso"))
 
 
-@query("extract_units", r"""with s as (select distinct spec_id, coalesce(value_text, '') as t from document_spec where key_id between 7 and 15),
+@query("extract_units", r"""with s as (select distinct spec_id, regexp_replace(coalesce(value_text, ''), '([^A-Za-z0-9.])', '\1\1', 'g') as t from document_spec),
 u as (select spec_id, regexp_extract_all(' ' || t || ' ', '(?i)[^A-Za-z0-9]([0-9]+(?:\.[0-9]+)?)\s*(?:kwh|mah|ghz|mhz|sqft|inch|kw|gb|tb|mb|kg|ml|cm|mm|v|a|w|l)[^A-Za-z]', 1) as n,
 regexp_extract_all(' ' || t || ' ', '(?i)[^A-Za-z0-9][0-9]+(?:\.[0-9]+)?\s*(kwh|mah|ghz|mhz|sqft|inch|kw|gb|tb|mb|kg|ml|cm|mm|v|a|w|l)[^A-Za-z]', 1) as u from s)
 select spec_id, unnest(list_filter(list_transform(list_zip(n, u), lambda z: case when regexp_matches(z[1], '^20[0-9][0-9]$') then '' else z[1] || ' ' || lower(z[2]) end), lambda x: x <> '')) as quantity from u""")
 def extract_units(spark: SparkSession, d: str) -> DataFrame:
-    """What the SQL covers: the rows of nine keys only. extract_units_all is the whole column."""
-    s = read_table(spark, d, "document_spec", "spec_id", "key_id", "value_text").where("key_id between 7 and 15").dropDuplicates(["spec_id"])
-    return s.select("spec_id", F.explode(ex.units(F.col("value_text"))).alias("quantity"))
-
-
-@query("extract_units_all")
-def extract_units_all(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities of every value_text, whatever its key."""
+    """Quantities of every value_text, whatever its key. (The SQL has no lookaround: it doubles what may stand between two quantities.)"""
     s = read_table(spark, d, "document_spec", "spec_id", "value_text").dropDuplicates(["spec_id"])
     return s.select("spec_id", F.explode(ex.units(F.col("value_text"))).alias("quantity"))
 

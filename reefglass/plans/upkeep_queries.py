@@ -186,18 +186,11 @@ def colliding_leaf_labels(spark: SparkSession, d: str) -> DataFrame:
     return ops.colliding_leaves(read_table(spark, d, "part", "p_type", "p_brand").distinct().select(F.array(F.lit("Root"), F.col("p_brand"), F.col("p_type")).alias("path")))
 
 
-@query("seen_page_streak", """with p as (select user_id as g, row_number() over (partition by user_id order by event_id) as page, event_type in ('view', 'click') as seen from events where value >= 2),
-b as (select *, sum(case when seen then 0 else 1 end) over (partition by g order by page) as breaks from p), r as (select g, breaks, count(*) as n from b where seen group by all) select g as user_id, max(n)::bigint as streak from r group by g""")
+@query("seen_page_streak", """with p as (select user_id as g, row_number() over (partition by user_id order by event_id) as page, event_type in ('view', 'click') as seen, value >= 2 as ok from events),
+f as (select *, sum(case when ok then 0 else 1 end) over (partition by g order by page) as gone from p), b as (select *, sum(case when seen then 0 else 1 end) over (partition by g order by page) as breaks from f where gone = 0),
+r as (select g, breaks, count(*) as n from b where seen group by all) select g as user_id, max(n)::bigint as streak from r group by g""")
 def seen_page_streak(spark: SparkSession, d: str) -> DataFrame:
-    """Longest run of seen pages per crawl; a crawl's pages are a bounded group."""
-    e = read_table(spark, d, "events", "event_id", "user_id", "event_type", "value").where("value >= 2")  # failed pages are missing
-    pages = e.select(F.col("user_id").alias("group"), F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long").alias("page"), F.col("event_type").isin("view", "click").alias("seen"))
-    return ops.longest_seen_run(pages).select(F.col("group").alias("user_id"), "streak")
-
-
-@query("seen_page_streak_gaps")
-def seen_page_streak_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """As seen_page_streak, but pages are numbered before the failed ones go, so a crawl ends at its first missing page."""
+    """Longest run of seen pages per crawl. Pages are numbered before the failed ones go, so a crawl ends at its first missing page; a crawl's pages are a bounded group."""
     e = read_table(spark, d, "events", "event_id", "user_id", "event_type", "value")
     number = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long")
     pages = e.withColumn("page", number).where("value >= 2").select(F.col("user_id").alias("group"), "page", F.col("event_type").isin("view", "click").alias("seen"))

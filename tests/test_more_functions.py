@@ -40,7 +40,7 @@ def test_lang_extras(spark):
     assert "".join(one("One. Two two. Three.", lambda c: lang.chunks(c, 9))) == "One. Two two. Three."
     assert len(one("One. Two two. Three.", lambda c: lang.chunks(c, 9))) == 3
     assert one("a  b\n\n\n\nc", lang.clean_text) == "a b\n\nc"
-    assert "ދިނުން" in lang.thaana_variants("dhinun") or lang.thaana_variants("dhinun")
+    assert lang.thaana_variants("ba") == ["ބޢ", "ބަ", "ބާ"] and lang.thaana_variants("b1") == [] and lang.latin_variants("ބާ") == ["baa", "ba"]
     assert len(lang.thaana_variants("dhinun")) <= lang.MAX_VARIANTS and lang.thaana_variants("x" * 30) == []
 
 
@@ -97,7 +97,7 @@ def test_corpus_is_skewed_and_repeatable(spark):
 
 
 def test_quantities_of_every_key(spark, data_dir):
-    """extract_units_all against a plain loop over all rows, those without a key included."""
+    """extract_units against a plain loop over all rows, those without a key included."""
     import re
 
     from reefglass.plans import catalog
@@ -105,7 +105,7 @@ def test_quantities_of_every_key(spark, data_dir):
     unit = re.compile(r"(?<![A-Za-z0-9])([0-9]+(?:\.[0-9]+)?)\s*(kwh|mah|ghz|mhz|sqft|inch|kw|gb|tb|mb|kg|ml|cm|mm|v|a|w|l)(?![A-Za-z])", re.IGNORECASE | re.ASCII)
     rows = {r.spec_id: r for r in spark.read.parquet(f"{data_dir}/document_spec.parquet").select("spec_id", "key_id", "value_text").collect()}
     want = sorted((r.spec_id, f"{n} {u.lower()}") for r in rows.values() for n, u in unit.findall(r.value_text or "") if not re.fullmatch(r"20\d\d", n))
-    got = sorted(tuple(r) for r in catalog.queries()["extract_units_all"](spark, data_dir).collect())
+    got = sorted(tuple(r) for r in catalog.queries()["extract_units"](spark, data_dir).collect())
     assert got == want
     assert any(rows[i].key_id is None for i, _ in got)
 
@@ -119,18 +119,26 @@ def test_search_over_all_sides_equals_brute_force(spark, data_dir):
     from reefglass.functions import lang
     from reefglass.operators import search
     from reefglass.plans import catalog
-    from reefglass.plans.search_queries import QUERIES
+    from reefglass.plans.registry import AS_OF
+    from reefglass.plans.search_queries import QUERIES, plain_plan
 
     def words(x):
         x = "".join(" " if unicodedata.category(c)[0] not in "LMN" else c for c in re.sub("[\u200b\u200c\u200d\u2060\ufeff]", "", x or "").translate({0x660 + i: str(i) for i in range(10)}).lower())
         return x.split()
 
-    read = dict(zip(lang.THAANA, ("" if r == "_" else r for r in lang.READINGS), strict=True))
+    read = {c: (r[0] if r else "") for c, r in lang.READINGS.items()}
     bare = lambda w: re.sub("[\u07a6-\u07b0]", "", w)
-    docs = {r.id: r for r in search.documents(spark, data_dir).where("is_active").collect()}
+    every = search.documents(spark, data_dir)
+    hidden = {r.id for r in search.reposts(every).collect()}
+    groups = defaultdict(list)
+    for r in every.where("dedupe_key <> ''").collect():
+        groups[r.dedupe_key].append((r.published_at is None, r.published_at or 0, r.id))
+    assert hidden == {x[2] for g in groups.values() for x in g} - {max(g)[2] for g in groups.values()} and hidden
+    docs = {r.id: r for r in every.where("is_active").collect() if r.id not in hidden}
     terms = defaultdict(set)
     for r in search.query_terms(spark, QUERIES).collect():
         terms[r.qid].add((r.side, r.lex))
+    assert {(q, *t) for q, own in terms.items() for t in own} == set(plain_plan(QUERIES))
     want = {}
     for i, r in docs.items():
         latin = r.title_latin if (r.title_latin or "").strip(" ") else "".join(read.get(c, c) for c in r.title_dv or "")
@@ -141,22 +149,63 @@ def test_search_over_all_sides_equals_brute_force(spark, data_dir):
             if hits:
                 want[q, i] = tuple(round(sum(w for x, w in hits if x == side), 6) for side in ("en", "dv", "latin"))
     run = lambda name: catalog.queries()[name](spark, data_dir).collect()
-    parts = run("score_breakdown_all")
-    assert {(r.qid, r.id): (r.r_en, r.r_dv, r.r_latin) for r in parts} == want
+    parts = search.scored_candidates(spark, data_dir, QUERIES, AS_OF, english=False).collect()
+    assert {(r.qid, r.id): (round(r.r_en, 6), round(r.r_dv, 6), round(r.r_latin, 6)) for r in parts} == want
     assert any(r.r_dv for r in parts) and any(r.r_latin and not r.r_en for r in parts)
-    assert {r.qid: r.matches for r in run("search_totals_all")} == {q: sum(k[0] == q for k in want) for q in {k[0] for k in want}}
+    assert {r.qid: r.matches for r in run("search_totals")} == {q: sum(k[0] == q for k in want) for q in {k[0] for k in want}}
     score = {(r.qid, r.id): r.score for r in parts}
     best = {q: sorted((k for k in score if k[0] == q), key=lambda k: (-score[k], -k[1])) for q in terms}
     newest = {q: sorted((k for k in score if k[0] == q), key=lambda k: (docs[k[1]].published_at is not None, docs[k[1]].published_at, k[1]) if docs[k[1]].published_at else (False, 0, k[1]), reverse=True) for q in terms}
-    for name, order, start in (("search_relevance_all", best, 0), ("search_page_two_all", best, 20), ("search_newest_all", newest, 0)):
+    for name, order, start in (("search_relevance", best, 0), ("search_indexed", best, 0), ("search_page_two", best, 20), ("search_newest", newest, 0)):
         assert {(r.qid, r.id): r.pos for r in run(name)} == {k: p for ks in order.values() for p, k in enumerate(ks, 1) if start < p <= start + 20}, name
     assert {r.qid for r in run("interleave_by_type")} == {k[0] for k in want}
 
 
+def test_words_meet_by_their_stems(spark, tmp_path):
+    """English words meet by stems, stop words are left out; rows delivered twice and reposts count once, stored or not."""
+    import datetime as dt
+
+    from reefglass.operators import search
+
+    t = dt.datetime(2024, 5, 1)
+    row = lambda i, title, key="": (i, "shop", f"k{i}", "shopping", "", title, "", "", "", "", None, "MVR", "", "", t, None, True, "{}", [], "", key, 0.5)
+    schema = (
+        "id long, source string, source_key string, doc_type string, url string, title_en string, title_dv string, title_latin string, summary_en string, summary_dv string, price double, currency string, "
+        "island string, atoll string, published_at timestamp, expires_at timestamp, is_active boolean, attrs string, thumbnails array<string>, category_leaf string, dedupe_key string, quality double"
+    )
+    rows = [row(1, "Water pump"), row(2, "the pumping of water"), row(3, "the of and"), row(4, "Two PUMPS", "same"), row(5, "Two PUMPS", "same"), row(1, "Water pump")]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "search_document.parquet"))
+    docs = search.read_table(spark, str(tmp_path), "search_document")
+    search.Index.write(docs, str(tmp_path / "index"))
+    stored = search.Index.read(spark, str(tmp_path / "index"))
+    find = lambda q, english: (
+        {r.id: r.r_en for r in search.scored_candidates(spark, str(tmp_path), [(1, q)], "2025-01-01", english=english).collect()},
+        {r.id: r.r_en for r in search.candidates(spark, stored, [(1, q)], "2025-01-01", english=english).collect()},
+    )
+    assert find("the pumps", True) == ({1: 1.0, 2: 1.0, 5: 1.0},) * 2
+    assert find("the pumps", False) == ({2: 1.0, 3: 1.0, 5: 1.0},) * 2
+    assert find("the", True) == ({}, {})
+
+
+def test_query_plan_widens_by_aliases_and_translations(spark):
+    from reefglass.functions import hashes
+    from reefglass.operators import search
+
+    plan = lambda q, **kw: {(r.side, r.lex) for r in search.query_plan(spark, [(1, q)], **kw).collect()}
+    assert plan("vazIfA") == {("dv", "ވަޒީފާ"), ("dv", "ވޒފ"), ("latin", "vazeefaa")}  # the case of the keys counts
+    assert {("en", "goathi"), ("latin", "goathi")} < plan("goathi") and any(s == "dv" for s, _ in plan("goathi"))
+    aliases = spark.createDataFrame([("ac", ["air conditioner", "އޭސީ"])], "term string, expands_to array<string>")
+    assert plan("AC fan", aliases=aliases) == {("en", w) for w in ("ac", "fan", "air", "conditioner")} | {("latin", w) for w in ("ac", "fan", "air", "conditioner")} | {("dv", "އޭސީ"), ("dv", "އސ")}
+    cache = spark.createDataFrame([("public auction", "ނީލަން")], "q string, translation string").select(hashes.text_key(F.col("q")).alias("source_hash"), "translation")
+    assert plan("public auction", translations=cache) == {("en", "public"), ("en", "auction"), ("latin", "public"), ("latin", "auction"), ("dv", "ނީލަން"), ("dv", "ނލނ")}
+    assert plan('"all quoted"') == set() and plan("") == set()
+    assert len(plan(" ".join(f"w{i}" for i in range(90)))) == 64
+
+
 def test_streaks_end_at_the_first_failed_page(spark, tmp_path):
     from reefglass.plans import catalog
 
     rows = [(1, 7, "view", 5.0), (2, 7, "click", 5.0), (3, 7, "view", 1.0), *[(i, 7, "view", 5.0) for i in range(4, 9)], (9, 8, "view", 0.0), (10, 8, "view", 5.0), (11, 9, "error", 5.0), (12, 9, "view", 5.0)]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
-    got = {r.user_id: r.streak for r in catalog.queries()["seen_page_streak_gaps"](spark, str(tmp_path)).collect()}
+    got = {r.user_id: r.streak for r in catalog.queries()["seen_page_streak"](spark, str(tmp_path)).collect()}
     assert got == {7: 2, 9: 1}
