@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,9 +35,24 @@ _ZERO_WIDTH = "[​‌‍⁠﻿]"
 FILI = "[ަ-ް]"
 
 
+def _composed() -> dict[str, str]:
+    """Latin letter and combining mark -> the composed letter, by the rule of Unicode's canonical composition."""
+    letters = [chr(x) for x in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
+    pairs = (a + chr(m) for a in letters for m in range(0x300, 0x370))
+    return {p: n for p in pairs if len(n := unicodedata.normalize("NFC", p)) == 1}
+
+
+def compose(c: Column) -> Column:
+    """Letters and the combining mark behind them as one letter (NFC of Latin letters with one mark); other text as it is."""
+    table = F.create_map(*[F.lit(x) for kv in _composed().items() for x in kv])
+    pieces = F.regexp_extract_all(c, F.lit("(?s).[\u0300-\u036f]?"), 0)
+    whole = F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) == 2, F.coalesce(F.try_element_at(table, p), p)).otherwise(p)), "")
+    return F.when(c.rlike("[\u0300-\u036f]"), whole).otherwise(c)
+
+
 def normalize_text(c: Column) -> Column:
-    """No zero-width characters, ASCII digits, lower case, single blanks, trimmed; '' for null. Input is composed (NFC)."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), _ZERO_WIDTH, "")
+    """Composed, no zero-width characters, ASCII digits, lower case, single blanks, trimmed; '' for null."""
+    c = F.regexp_replace(compose(F.coalesce(c, F.lit(""))), _ZERO_WIDTH, "")
     c = F.lower(F.translate(c, "٠١٢٣٤٥٦٧٨٩", "0123456789"))
     return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
 
@@ -50,9 +66,16 @@ def contains_thaana(c: Column) -> Column:
     return F.coalesce(c.rlike("[ހ-޿]"), F.lit(False))
 
 
+#: Named entities of HTML; the ampersand comes last.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def strip_html(c: Column) -> Column:
-    """Text without tags, blanks collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", " "), r"\s+", " "))
+    """Text without tags, named entities decoded, blanks collapsed."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), "<[^>]*>", " ")
+    for name, char in ENTITIES:
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def tokens(c: Column) -> Column:

@@ -16,8 +16,11 @@ from reefglass.sources.tables import read_table
 
 _T = "d as (select distinct id, title_en, title_dv, title_latin, summary_en, summary_dv, contact_phone, source, price, currency, attrs from search_document)"
 _I = "i as (select distinct iulaan_id, title, translated_title, office_id, iulaan_type, additional_info, attachments, body from iulaan)"
-_NORM = r"trim(regexp_replace(lower(translate(regexp_replace(coalesce({0}, ''), '[​‌‍⁠﻿]', '', 'g'), '٠١٢٣٤٥٦٧٨٩', '0123456789')), '[\s ]+', ' ', 'g'))"
-_CLEAN = r"trim(regexp_replace(regexp_replace(coalesce({0}, ''), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+_NORM = r"trim(regexp_replace(lower(translate(regexp_replace(nfc_normalize(coalesce({0}, '')), '[​‌‍⁠﻿]', '', 'g'), '٠١٢٣٤٥٦٧٨٩', '0123456789')), '[\s ]+', ' ', 'g'))"
+_CLEAN = "regexp_replace(coalesce({0}, ''), '<[^>]*>', ' ', 'g')"
+for _name, _char in lang.ENTITIES:
+    _CLEAN = f"replace({_CLEAN}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+_CLEAN = rf"trim(regexp_replace({_CLEAN}, '\s+', ' ', 'g'))"
 
 
 def _docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -122,19 +125,47 @@ def extract_emails(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.explode(ex.emails(F.col("text"))).alias("email"))
 
 
-@query("extract_money", rf"""with d as (select distinct doc_id, text from documents), m as (select doc_id, 'MVR' as currency, unnest(regexp_extract_all(coalesce(text, ''), '{ex.MVR_MARKED}', 1)) as a from d
-union all select doc_id, 'USD', unnest(regexp_extract_all(coalesce(text, ''), '{ex.USD_MARKED}', 1)) from d) select distinct doc_id, currency, replace(a, ',', '')::double as amount from m""")
+_MARKED = " union all ".join(f"select doc_id, '{cur}' as currency, unnest(regexp_extract_all(coalesce(text, ''), '{p}', 1)) as a from d" for cur, p in ex.MARKED)
+
+
+@query("extract_money", f"with d as (select distinct doc_id, text from documents), m as ({_MARKED}) select distinct doc_id, currency, replace(a, ',', '')::double as amount from m")
 def extract_money(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts that any of the six marks gives a currency."""
+    docs = read_table(spark, d, "documents", "doc_id", "text").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", F.inline(ex.marked_amounts(F.col("text")))).distinct()
+
+
+@query("extract_urls", rf"""with d as (select distinct doc_id, text from documents), u as (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '{ex.URL.replace("'", "''")}')) as url from d) select distinct doc_id, url from u""")
+def extract_urls(spark: SparkSession, d: str) -> DataFrame:
+    docs = read_table(spark, d, "documents", "doc_id", "text").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", F.explode(ex.urls(F.col("text"))).alias("url"))
+
+
+@query("extract_candidates")
+def extract_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All facts of a text together; bare amounts stand back behind phones, quantities, years and dates. Tested against plain Python: the SQL has no lookaround."""
     docs = read_table(spark, d, "documents", "doc_id", "text").dropDuplicates(["doc_id"])
-    mvr = docs.select("doc_id", F.lit("MVR").alias("currency"), F.explode(ex.amounts(F.col("text"), ex.MVR_MARKED)).alias("amount"))
-    usd = docs.select("doc_id", F.lit("USD").alias("currency"), F.explode(ex.amounts(F.col("text"), ex.USD_MARKED)).alias("amount"))
-    return mvr.unionByName(usd).distinct()
+    x = docs.select("doc_id", ex.candidates(F.col("text")).alias("c"))
+    kinds = {k: F.transform(F.col(f"c.{k}"), lambda v: v) for k in ("phones", "emails", "urls", "units", "dates")}
+    kinds["money"] = F.transform(F.col("c.money"), lambda m: F.concat(m["currency"], F.lit(" "), F.format_string("%.2f", m["amount"])))
+
+    def named(kind: str, values):
+        return F.transform(values, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("value")))
+
+    entries = F.concat(*[named(k, v) for k, v in kinds.items()])
+    return x.select("doc_id", F.inline(entries))
+
+
+_DV_MONTH = "coalesce(case " + " ".join(f"when starts_with({{0}}, '{stem}') then '{i}'" for stem, i in reversed(ex.DV_MONTHS)) + " end, '0')"
+_DV_DATES = "".join(
+    f" union all select doc_id, unnest(list_zip(regexp_extract_all(t, '{p}', {y}), list_transform(regexp_extract_all(t, '{p}', 2), lambda m: {_DV_MONTH.format('m')}), regexp_extract_all(t, '{p}', {dd}))) from d" for p, y, dd in ((ex.DV_DATE, 3, 1), (ex.DV_YEAR_FIRST, 1, 3))
+)
 
 
 @query("extract_dates", r"""with d as (select distinct doc_id, coalesce(text, '') as t from documents),
 r as (select doc_id, unnest(list_zip(regexp_extract_all(t, '(20[0-9]{2})[-/]([0-9]{1,2})[-/]([0-9]{1,2})', 1), regexp_extract_all(t, '(20[0-9]{2})[-/]([0-9]{1,2})[-/]([0-9]{1,2})', 2), regexp_extract_all(t, '(20[0-9]{2})[-/]([0-9]{1,2})[-/]([0-9]{1,2})', 3))) as z from d
 union all select doc_id, unnest(list_zip(regexp_extract_all(t, '([0-9]{1,2})[-/]([0-9]{1,2})[-/](20[0-9]{2})', 3), regexp_extract_all(t, '([0-9]{1,2})[-/]([0-9]{1,2})[-/](20[0-9]{2})', 2), regexp_extract_all(t, '([0-9]{1,2})[-/]([0-9]{1,2})[-/](20[0-9]{2})', 1))) from d
-union all select doc_id, unnest(list_zip(regexp_extract_all(t, '([0-9]{1,2})\s+([A-Za-z]{3,9})\s+(20[0-9]{2})', 3), list_transform(regexp_extract_all(t, '([0-9]{1,2})\s+([A-Za-z]{3,9})\s+(20[0-9]{2})', 2), lambda m: coalesce(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr(lower(m), 1, 3)), 0)::varchar), regexp_extract_all(t, '([0-9]{1,2})\s+([A-Za-z]{3,9})\s+(20[0-9]{2})', 1))) from d)
+union all select doc_id, unnest(list_zip(regexp_extract_all(t, '([0-9]{1,2})\s+([A-Za-z]{3,9})\s+(20[0-9]{2})', 3), list_transform(regexp_extract_all(t, '([0-9]{1,2})\s+([A-Za-z]{3,9})\s+(20[0-9]{2})', 2), lambda m: coalesce(list_position(['jan','feb','mar','apr','may','jun','jul','aug','sep','oct','nov','dec'], substr(lower(m), 1, 3)), 0)::varchar), regexp_extract_all(t, '([0-9]{1,2})\s+([A-Za-z]{3,9})\s+(20[0-9]{2})', 1))) from d""" + _DV_DATES + """)
 select distinct doc_id, printf('%s-%02d-%02d', z[1], z[2]::integer, z[3]::integer) as iso from r where z[2]::integer between 1 and 12 and z[3]::integer between 1 and 31""")
 def extract_dates(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents", "doc_id", "text").dropDuplicates(["doc_id"])

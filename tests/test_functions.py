@@ -54,8 +54,16 @@ def test_contacts_and_amounts(spark):
     assert one(spark, "FREE DELIVERY | &7776828", extract.strip_phones) == "FREE DELIVERY"
     assert one(spark, "write a.b@c.mv and a.b@c.mv", extract.emails) == ["a.b@c.mv"]
     assert one(spark, "see https://x.mv/a?b=1) now", extract.urls) == ["https://x.mv/a?b=1"]
-    assert one(spark, "MVR 5,000 and Rf. 7", lambda c: extract.amounts(c, extract.MVR_MARKED)) == [5000.0, 7.0]
-    assert one(spark, "USD 450 or $ 3.5", lambda c: extract.amounts(c, extract.USD_MARKED)) == [450.0, 3.5]
+    money = lambda t: {(m.currency, m.amount) for m in one(spark, t, extract.marked_amounts)}
+    assert money("MVR 5,000 and Rf. 7") == {("MVR", 5000.0), ("MVR", 7.0)}
+    assert money("USD 450 or $ 3.5, 12 dollars") == {("USD", 450.0), ("USD", 3.5), ("USD", 12.0)}
+    assert money("10,750 ރުފިޔާ -/32,632 7000/-") == {("MVR", 10750.0), ("MVR", 32632.0), ("MVR", 7000.0)}
+    c = one(spark, "Call 7771234 or a@b.mv. 4,400. A 12V fan of 2019, MVR 60, on 2024-03-05 and 7 މާރޗް 2025; 88 left. https://x.mv/y", extract.candidates)
+    assert c.phones == ["7771234"] and c.emails == ["a@b.mv"] and c.units == ["12 v"] and c.urls == ["https://x.mv/y"] and set(c.dates) == {"2024-03-05", "2025-03-07"}
+    assert {("MVR", 60.0), ("MVR", 4400.0), ("MVR", 88.0)} <= {(m.currency, m.amount) for m in c.money} and not {12.0, 2019.0, 2024.0, 7771234.0} & {m.amount for m in c.money}
+    assert one(spark, "4 Rooms and More", extract.parse_count) == (4, True) and one(spark, " 12 ", extract.parse_count) == (12, False) and one(spark, "4 cats", extract.parse_count) is None
+    assert one(spark, "cafe\u0301 A\u030angstro\u0308m e\u0310", lang.compose) == "café Ångström e\u0310"
+    assert one(spark, "<p>a&amp;b&nbsp;&lt;c&gt;</p>", lang.strip_html) == "a&b <c>"
     assert one(spark, "24V-5A-120W / 128 GB 2019 W", extract.units) == ["24 v", "5 a", "120 w", "128 gb"]
     assert one(spark, "2024-3-5, 05/03/2024, 7 March 2025, 99/99/2024", extract.dates) == ["2024-03-05", "2025-03-07"]
     assert tuple(one(spark, "4 Rooms and More", extract.parse_count)) == (4, True)

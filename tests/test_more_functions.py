@@ -161,6 +161,37 @@ def test_search_over_all_sides_equals_brute_force(spark, data_dir):
     assert {r.qid for r in run("interleave_by_type")} == {k[0] for k in want}
 
 
+def test_candidates_equal_plain_python(spark, data_dir):
+    """Amounts of every document against plain regular expressions over positions."""
+    import re
+
+    from reefglass.functions import extract as ex
+    from reefglass.plans import catalog
+
+    py = lambda p: re.compile(p.removeprefix("(?i)"), re.IGNORECASE if p.startswith("(?i)") else 0)
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "text").collect()}
+    got, dates = {}, {}
+    for r in catalog.queries()["extract_candidates"](spark, data_dir).collect():
+        (got if r.kind == "money" else dates if r.kind == "dates" else {}).setdefault(r.doc_id, set()).add(r.value)
+    bare = 0
+    for i, t in docs.items():
+        want, used = set(), set()
+        for cur, p in ex.MARKED:
+            for raw in py(p).findall(t):
+                want.add(f"{cur} {float(raw.replace(',', '')):.2f}")
+                used.add(raw)
+        spans = [m.span() for m in py(ex.UNIT).finditer(t) if not re.fullmatch(r"20\d\d", m[1])]
+        parts = {x for d in dates.get(i, ()) for x in d.split("-")}
+        for m in re.finditer(ex.BARE, t, re.ASCII):
+            raw = m[1]
+            if raw in used or re.fullmatch(r"20\d\d", raw) or raw in parts or raw in set(re.findall(ex.PHONE, t)) or any(a <= m.start() < b for a, b in spans):
+                continue
+            want.add(f"MVR {float(raw.replace(',', '')):.2f}")
+            bare += 1
+        assert got.get(i, set()) == want, i
+    assert bare > 20
+
+
 def test_words_meet_by_their_stems(spark, tmp_path):
     """English words meet by stems, stop words are left out; rows delivered twice and reposts count once, stored or not."""
     import datetime as dt
