@@ -112,3 +112,9 @@ def normalized_entropy(n: Column, total: Column, kinds: Column) -> Column:
     """Aggregate: Shannon entropy of counts over log2 of their number, 0 for one kind; total and kinds are window or group values."""
     p = n / total
     return F.coalesce(F.try_divide(F.sum(F.when(n > 0, -p * F.log2(p)).otherwise(0.0)), F.log2(F.first(kinds))), F.lit(0.0))
+
+
+def known_overlap(known: Column, found: Column) -> Column:
+    """Share of the distinct known words that are among the found ones; 0 without known words."""
+    k = F.array_distinct(known)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(k, found)).cast("double"), F.size(k)), F.lit(0.0))

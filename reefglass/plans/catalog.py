@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reefglass.operators import eav_wide, units
+from reefglass.plans import data_queries as _data  # noqa: F401
 from reefglass.plans import filter_queries as _filters  # noqa: F401
 from reefglass.plans import search_queries as _search  # noqa: F401
 from reefglass.plans import text_queries as _text  # noqa: F401

@@ -152,7 +152,7 @@ _TREE = "tree as (select 'r' || r_regionkey as node, null as parent, 'family' as
 def category_family(spark: SparkSession, d: str) -> DataFrame:
     tree = _tree(spark, d)
     top = tree.where("tier = 'family'").select(F.col("node").alias("family"))
-    return ops.ancestors(tree, 4).join(top, F.col("ancestor") == F.col("family")).select("node", "family")
+    return ops.ancestors(tree).join(top, F.col("ancestor") == F.col("family")).select("node", "family")
 
 
 @query("primary_sibling", f"with {_TREE}, p as (select parent as family, min(node) as primary_node from tree where tier = 'primary' group by 1) select n.node, primary_node from tree n join tree up on up.node = n.parent join p on p.family = up.parent where n.tier = 'part'")
