@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reefglass.checkpoints import cut
 from reefglass.functions.text import plain
 from reefglass.functions.units import spelling_codes, unit_key
-from reefglass.operators.skew import HOT_SHARE, hot_join, hot_keys
+from reefglass.operators.skew import HOT_SHARE, bounded_keys, hot_join, hot_keys
 from reefglass.sources.tables import fixed_rows, read_table
 
 MAX_BROADCAST_KEYS = 20_000
@@ -124,10 +124,10 @@ def resolve_keys(spark: SparkSession, specs: DataFrame, registry: Registry) -> D
     return hot_join(specs.select("*", *none), right.drop("n"), on, hot_keys(right, on), F.col("spec_id")).drop(*on)
 
 
-def hot_documents(df: DataFrame, key: str = "document_id") -> DataFrame:
-    """The documents that hold more than one in HOT_SHARE of the rows, by a heavy-hitter sketch of bounded size: a few rows."""
+def hot_documents(df: DataFrame, key: str = "document_id") -> DataFrame | None:
+    """The documents that hold more than one in HOT_SHARE of the rows, by a heavy-hitter sketch of bounded size; None if there are none."""
     seen = df.agg(F.expr(f"approx_top_k({key}, {HOT_SHARE}, {20 * HOT_SHARE})").alias("top"), F.count(F.lit(1)).alias("_n"))
-    return seen.select("_n", F.inline("top")).where(F.col("item").isNotNull() & (F.col("count") * HOT_SHARE > F.col("_n"))).select(F.col("item").alias(key))
+    return bounded_keys(seen.select("_n", F.inline("top")).where(F.col("item").isNotNull() & (F.col("count") * HOT_SHARE > F.col("_n"))).select(F.col("item").alias(key)))
 
 
 def of_live_documents(df: DataFrame, documents: DataFrame, *columns: str, hot: DataFrame | None = None) -> DataFrame:
@@ -137,6 +137,4 @@ def of_live_documents(df: DataFrame, documents: DataFrame, *columns: str, hot: D
     ``hot``, the documents known to hold very many rows, df needs a spec_id by which those are spread.
     """
     unique = documents.select(F.col("id").alias("document_id"), *columns).groupBy("document_id").agg(*[F.min(c).alias(c) for c in columns] or [F.lit(1).alias("_live")]).drop("_live")
-    if hot is None:
-        return df.join(unique, "document_id")
-    return hot_join(df, unique, ["document_id"], hot, F.col("spec_id"))
+    return hot_join(df, unique, ["document_id"], hot, F.col("spec_id") if hot is not None else F.lit(0))
