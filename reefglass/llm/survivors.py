@@ -75,7 +75,7 @@ def shared_groups(docs: DataFrame) -> DataFrame:
     ).where("lo < hi").drop("lo", "hi")
 
 
-def claims(docs: DataFrame, shared: DataFrame, hot: DataFrame, sources: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def claims(docs: DataFrame, shared: DataFrame, hot: DataFrame | None, sources: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """One row per (k1, k2, field_no, value, fit) of the shared groups: latest, and the bit set of sources that state it.
 
     fit: the value reads like one of the field. A row delivered twice changes nothing.
@@ -93,10 +93,11 @@ def claims(docs: DataFrame, shared: DataFrame, hot: DataFrame, sources: list[str
     return long.groupBy("k1", "k2", "field_no", "value", "fit").agg(F.max("latest").alias("latest"), F.bit_or("src").alias("states"))
 
 
-def with_covers(found: DataFrame, hot: DataFrame) -> DataFrame:
+def with_covers(found: DataFrame, hot: DataFrame | None) -> DataFrame:
     """Adds fills: the bit set of the sources that fill the field in the group."""
     covers = found.groupBy("k1", "k2", "field_no").agg(F.bit_or("states").alias("fills"))
-    return hot_join(found, covers, ["k1", "k2", "field_no"], hot.crossJoin(F.broadcast(found.sparkSession.range(len(FIELDS)).select(F.col("id").cast("tinyint").alias("field_no")))), F.col("value"))
+    fields = F.explode(F.array(*[F.lit(i).cast("tinyint") for i in range(len(FIELDS))]))
+    return hot_join(found, covers, ["k1", "k2", "field_no"], None if hot is None else hot.select("k1", "k2", fields.alias("field_no")), F.col("value"))
 
 
 def fit_witnesses(patterns: np.ndarray, n_sources: int) -> tuple[float, np.ndarray, int]:
