@@ -185,9 +185,25 @@ def quoted_phrases(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(_text(c), F.lit('"([^"]+)"'), 1), lambda x: F.trim(x) != "")
 
 
+LONGEST_LABEL = 120
+
+
 def table_pairs(html: Column) -> Column:
-    """'label: value' of table rows with two cells."""
-    row = r"(?is)<tr[^>]*>\s*<td[^>]*>(.*?)</td>\s*<td[^>]*>(.*?)</td>.*?</tr>"
-    pairs = F.arrays_zip(F.regexp_extract_all(_text(html), F.lit(row), 1).alias("k"), F.regexp_extract_all(_text(html), F.lit(row), 2).alias("v"))
-    clean = lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))
-    return F.filter(F.transform(pairs, lambda p: F.concat(clean(p["k"]), F.lit(": "), clean(p["v"]))), lambda x: F.length(x) > 2)
+    """'label: value' of table rows with two cells and more: the first cell is the label, the items of a list in the second are joined by bars.
+
+    Rows without label or value, and with labels over LONGEST_LABEL characters, are left out.
+    """
+
+    def clean(x: Column) -> Column:
+        return F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))
+
+    def pair(row: Column) -> Column:
+        cells = F.regexp_extract_all(row, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), 1)
+        label = F.regexp_replace(clean(F.get(cells, F.lit(0))), r"[\s:]+$", "")
+        second = F.get(cells, F.lit(1))
+        items = F.filter(F.transform(F.regexp_extract_all(second, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1), clean), lambda x: x != "")
+        value = F.when(F.size(items) > 0, F.array_join(items, " | ")).otherwise(clean(second))
+        return F.when((F.size(cells) > 1) & (label != "") & (value != "") & (F.length(label) <= LONGEST_LABEL), F.concat(label, F.lit(": "), value))
+
+    rows = F.regexp_extract_all(_text(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
+    return F.filter(F.transform(rows, pair), lambda x: x.isNotNull())

@@ -161,6 +161,37 @@ def test_search_over_all_sides_equals_brute_force(spark, data_dir):
     assert {r.qid for r in run("interleave_by_type")} == {k[0] for k in want}
 
 
+def test_table_rows_give_pairs(spark):
+    from reefglass.functions import extract
+
+    html = "<table><tr><td>Post :</td><td><ul><li>Cook</li><li> <b>Driver</b></li></ul></td><td>x</td></tr><tr><td>Pay</td><td>5 <i>a</i></td></tr><tr><td>one</td></tr><tr><td></td><td>v</td></tr><tr><td>" + "l" * 121 + "</td><td>v</td></tr></table>"
+    got = spark.createDataFrame([(html,), (None,)], "h string").select(extract.table_pairs(F.col("h")).alias("p")).collect()
+    assert [r.p for r in got] == [["Post: Cook | Driver", "Pay: 5 a"], []]
+
+
+def test_documents_rows_are_replaced_together(spark):
+    from reefglass.operators import eav_project
+
+    schema = "document_id long, key_raw string, value_num double, value_text string, unit string, provenance string"
+    old = spark.createDataFrame([(1, "a", 1.0, "", "", ""), (2, "a", 2.0, "", "", ""), (3, "a", 3.0, "", "", "")], schema)
+    new = spark.createDataFrame([(1, "b", 9.0, "", "", ""), (3, "c", 9.0, "", "", "")], schema)
+    ids = spark.createDataFrame([(1,), (2,), (2,)], "document_id long")
+    assert {(r.document_id, r.key_raw) for r in eav_project.replace_by_document(old, new, ids).collect()} == {(1, "b"), (3, "a")}
+    docs = spark.createDataFrame([(7, "12V fan and 5 kg", '{"Colour": "red / blue", "price": "4", "deep": [1]}')], "id long, t string, attrs string")
+    reg = spark.createDataFrame([(1, "v"), (2, "colour")], "key_id long, spec_key string")
+    rows = eav_project.project([eav_project.of_text(docs, F.col("t")), eav_project.of_map(docs, F.col("attrs")), eav_project.of_text(docs, F.col("t"))], reg).collect()
+    assert {(r.key_id, r.key_raw, r.value_num, r.value_text, r.provenance) for r in rows} == {(1, "v", 12.0, "", "extracted"), (None, "kg", 5.0, "", "extracted"), (2, "colour", None, "red", "scraped"), (2, "colour", None, "blue", "scraped")}
+
+
+def test_trees_of_any_depth(spark):
+    from reefglass.operators import catalog_ops
+
+    tree = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(20)], "node string, parent string")
+    got = catalog_ops.ancestors(tree)
+    assert got.count() == 190 and got.where("node = '19' and ancestor = '0'").first().distance == 19
+    assert catalog_ops.ancestors(tree.limit(0)).count() == 0
+
+
 def test_candidates_equal_plain_python(spark, data_dir):
     """Amounts of every document against plain regular expressions over positions."""
     import re
