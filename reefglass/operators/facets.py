@@ -11,6 +11,9 @@ from reefglass import config
 from reefglass.operators.filters import Facet, condition, json_array, json_scalar
 
 
+SKETCH_ERROR = 0.02
+
+
 def enum_counts(docs: DataFrame, value: Column, top: int = 12) -> DataFrame:
     """(value, n) of the commonest non-empty values; ties by value."""
     return docs.select(value.alias("value")).where("value is not null and value <> ''").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(top)
@@ -107,7 +110,7 @@ def page_facets(docs: DataFrame, facets: tuple[Facet, ...], as_of: Column, cells
         out.append(held.select("key", F.lit("toggle").alias("widget"), F.lit("").alias("part"), F.lit("true").alias("value"), "n", null.cast("int").alias("rank"), null.cast("double").alias("lo"), null.cast("double").alias("hi")))
     if cells is not None:
         mine = cells.join(docs.select(F.col("id").alias("document_id")).distinct(), "document_id", "left_semi")
-        found = discover(mine, kinds or {}, docs.count()) if kinds else None
+        found = discover(mine, kinds, docs.count(), exact=False) if kinds else None
         if found is not None:
             out.append(found.select(F.col("spec_key").alias("key"), F.lit("discovered").alias("widget"), F.lit("").alias("part"), null.cast("string").alias("value"), F.col("documents").alias("n"), null.cast("int").alias("rank"), F.col("coverage").alias("lo"), F.col("score").alias("hi")))
     return reduce(lambda a, b: a.unionByName(b), out)
@@ -121,13 +124,18 @@ def dominant_category(docs: DataFrame, share: float = config.DISCOVERY["dominant
     return out.where(F.col("share") >= share)
 
 
-def key_stats(cells: DataFrame) -> DataFrame:
+def _distinct(c: Column | str, exact: bool) -> Column:
+    """Number of distinct values; not exact by a mergeable HyperLogLog sketch with a relative standard deviation of SKETCH_ERROR."""
+    return F.countDistinct(c) if exact else F.approx_count_distinct(c, SKETCH_ERROR)
+
+
+def key_stats(cells: DataFrame, exact: bool = True) -> DataFrame:
     """(spec_key, documents, distinct_values) of cells (document_id, spec_key, num, text)."""
     value = F.coalesce(F.nullif(F.coalesce("text", F.lit("")), F.lit("")), F.col("num").cast("string"))
-    return cells.groupBy("spec_key").agg(F.countDistinct("document_id").alias("documents"), F.countDistinct(value).alias("distinct_values"))
+    return cells.groupBy("spec_key").agg(_distinct("document_id", exact).alias("documents"), _distinct(value, exact).alias("distinct_values"))
 
 
-def value_counts(cells: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def value_counts(cells: DataFrame, kinds: dict[str, str], exact: bool = True) -> DataFrame:
     """(spec_key, value, n): numbers by ten buckets between the attribute's ends, yes and no, or texts, by distinct documents."""
     ends = cells.groupBy("spec_key").agg(F.min("num").alias("lo"), F.max("num").alias("hi"))  # one row per attribute
     kind = F.coalesce(*[F.when(F.col("spec_key") == k, F.lit(v)) for k, v in kinds.items()])
@@ -136,7 +144,7 @@ def value_counts(cells: DataFrame, kinds: dict[str, str]) -> DataFrame:
         F.when((F.col("kind") == "numeric") & (F.col("lo") < F.col("hi")), bucket_of(F.col("num"), F.col("lo"), F.col("hi")).cast("string"))
         .when(F.col("kind") == "bool", F.when(F.col("num") == 1, "true").otherwise("false")).when(F.col("kind") == "enum", F.lower(F.trim("text")))
     )
-    return rows.withColumn("value", value).where("value is not null and value <> ''").groupBy("spec_key", "value").agg(F.countDistinct("document_id").alias("n"))
+    return rows.withColumn("value", value).where("value is not null and value <> ''").groupBy("spec_key", "value").agg(_distinct("document_id", exact).alias("n"))
 
 
 def entropy(counts: DataFrame) -> DataFrame:
@@ -147,11 +155,11 @@ def entropy(counts: DataFrame) -> DataFrame:
     return out.select("spec_key", F.round(F.when(F.col("k") > 1, F.col("h") / F.log2("k")).otherwise(F.lit(0.0)), 6).alias("entropy"))
 
 
-def discover(cells: DataFrame, kinds: dict[str, str], total: int, d: dict = config.DISCOVERY) -> DataFrame:
+def discover(cells: DataFrame, kinds: dict[str, str], total: int, d: dict = config.DISCOVERY, exact: bool = True) -> DataFrame:
     """(spec_key, documents, coverage, entropy, score): the attributes worth offering as facets, best first."""
-    stats = key_stats(cells).withColumn("coverage", F.round(F.col("documents") / F.lit(float(max(1, total))), 6))
+    stats = key_stats(cells, exact).withColumn("coverage", F.round(F.col("documents") / F.lit(float(max(1, total))), 6))
     stats = stats.where((F.col("documents") >= d["min_docs"]) & (F.col("coverage") >= d["min_coverage"]) & (F.col("distinct_values") > 1))
-    found = stats.join(entropy(value_counts(cells, kinds)), "spec_key").where(F.col("entropy") >= d["min_entropy"])
+    found = stats.join(entropy(value_counts(cells, kinds, exact)), "spec_key").where(F.col("entropy") >= d["min_entropy"])
     return found.select("spec_key", "documents", "coverage", "entropy", F.round(F.col("coverage") * F.col("entropy"), 6).alias("score")).orderBy(F.desc("score"), "spec_key").limit(d["facets"])
 
 

@@ -242,7 +242,9 @@ def candidates(spark: SparkSession, index: Index, queries: list[tuple[int, str]]
     if where is not None:
         docs = docs.where(where)
     q = local_table(spark, queries, qid="int32", q="string").withColumn("resp", response_language(F.col("q"))).withColumn("q3", lang.trigrams(F.col("q")))
-    cand = docs.join(found, "id").join(F.broadcast(q), "qid")  # as many rows as queries
+    if len(queries) <= MAX_BROADCAST_TERMS:
+        q = F.broadcast(q)
+    cand = docs.join(found, "id").join(q, "qid")
     sims = [lang.trigram_similarity(lang.trigrams(F.col(t)), F.col("q3")) for t in ("title_en", "title_dv", "title_latin")]
     cand = cand.withColumn("trg", F.greatest(*sims))
     return cand.withColumn("score", F.round(score(F.lit(as_of).cast("timestamp")), 6)).drop("q3")

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reefglass.functions import dates, extract, lang, scoring
-from reefglass.operators import catalog_ops, eav_project
+from reefglass.operators import catalog_ops, eav_project, facets
 from reefglass.operators.filters import json_array
 from reefglass.operators.search import documents
 from reefglass.plans.filter_queries import _CELLS, cells
 from reefglass.plans.registry import AS_OF, query
 from reefglass.plans.search_queries import tok
-from reefglass.sources.tables import read_table
+from reefglass.sources.tables import fixed_rows, read_table
 
 _I = "i as (select distinct iulaan_id, title, translated_title, office_id, iulaan_type, attachments, body from iulaan)"
 _A = f"""{_I}, m as (select iulaan_id, title, office_id, iulaan_type, unnest(json_keys(attachments)) as label, attachments from i where attachments is not null),
@@ -33,6 +33,13 @@ def facet_enum_values(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("spec_key").orderBy(F.desc("n"), "value"))).where("rank <= 12")
 
 
+@query("facet_discovery_sketched")
+def facet_discovery_sketched(spark: SparkSession, d: str) -> DataFrame:
+    """facet_discovery by mergeable sketches, as a page needs it; tested to stay within three times the sketches' error."""
+    kinds = {r.spec_key: r.datatype for r in fixed_rows(read_table(spark, d, "spec_key", "spec_key", "datatype"))}
+    return facets.discover(cells(spark, d), kinds, documents(spark, d, "id").count(), exact=False)
+
+
 @query("facet_numeric_ends", f"with {_CELLS} select spec_key, min(num) as lo, max(num) as hi, count(distinct document_id)::bigint as documents from cells where datatype = 'numeric' and num is not null group by spec_key")
 def facet_numeric_ends(spark: SparkSession, d: str) -> DataFrame:
     return cells(spark, d).where("datatype = 'numeric' and num is not null").groupBy("spec_key").agg(F.min("num").alias("lo"), F.max("num").alias("hi"), F.countDistinct("document_id").alias("documents"))

@@ -194,7 +194,18 @@ def identifier_keys(spark: SparkSession, d: str) -> DataFrame:
     return _notices(spark, d).where(number.isNotNull()).select("iulaan_id", ex.identifier_key(number).alias("key"))
 
 
-@query("identifier_intersection")
+_TRIM = "[.,);:''\"]+$"
+_IDS = r"""list_distinct(list_transform(list_filter(list_transform(regexp_extract_all({0}, '\([A-Za-z]+\)|[A-Za-z0-9][A-Za-z0-9()/.\-:]*'), lambda x: regexp_replace(x, '{trim}', '')),
+lambda x: length(x) >= 7 and contains(x, '/') and regexp_matches(x, '[0-9]') and not regexp_matches(x, 'www\.|https?:', 'i') and not regexp_matches(x, '^(?:[79][0-9]{{6}}|[36][0-9]{{6}})(?:\s*/\s*(?:[79][0-9]{{6}}|[36][0-9]{{6}}))+$')),
+lambda x: array_to_string(regexp_extract_all(upper(x), '[0-9]+'), '-') || '|' || array_to_string(list_sort(string_split(regexp_replace(upper(x), '[^A-Z]', '', 'g'), '')), '')))"""
+
+
+def _ids(c: str) -> str:
+    return _IDS.format(c, trim=_TRIM)
+
+
+@query("identifier_intersection", f"""with {_I}, n as (select iulaan_id, {_ids("coalesce(json_extract_string(additional_info, '$.Number'), '')")} as a, {_ids("coalesce(iulaan_id, '') || '/' || coalesce(office_id::varchar, '')")} as b from i)
+select iulaan_id, unnest(list_intersect(a, b)) as key from n""")
 def identifier_intersection(spark: SparkSession, d: str) -> DataFrame:
     """Numbers that a notice's facts and its id share."""
     i = _notices(spark, d)
@@ -217,7 +228,7 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return _notices(spark, d).select("iulaan_id", F.regexp_extract("body", r"(?is)^\s*<([a-z]+)", 1).alias("first_tag"), F.size(tags).alias("tags"))
 
 
-@query("html_pages")
+@query("html_pages", f"with {_I} select iulaan_id, iulaan_id as found, 7 as pages, len(list_distinct(regexp_extract_all(coalesce(body, ''), '(?i)href=\"([^\"]+\\.(?:pdf|docx?|xlsx?))\"', 1)))::integer as files from i where iulaan_id is not null")
 def html_pages(spark: SparkSession, d: str) -> DataFrame:
     """Index and detail pages out of HTML made from the notices; parsing is covered by tests."""
     page = F.concat(F.lit('<a class="iulaan-title" href="/iulaan/'), F.col("iulaan_id"), F.lit('">x</a><li class="page-item"><a href="?page=7">7</a></li>'), F.col("body"))

@@ -163,7 +163,14 @@ def primary_sibling(spark: SparkSession, d: str) -> DataFrame:
     return tree.where("tier = 'part'").join(up, F.col("parent") == F.col("_n")).join(first, "family").select("node", "primary_node")
 
 
-@query("taxonomy_infer_tier")
+_PATHS = "p as (select distinct json_extract_string(attrs, '$.category_path[*]') as path from search_document where len(json_extract_string(attrs, '$.category_path[*]')) > 0)"
+
+
+@query("taxonomy_infer_tier", f"""with {_PATHS}, m as (select path, path[2:greatest(len(path) - 1, 1)] as middle, path[3:greatest(len(path) - 1, 2)] as below from p),
+t as (select *, list_contains(middle, 'Parts') or len(list_filter(below, lambda s: s = 'Parts' or s like '% Parts' or s like '%& Parts')) > 0 as part, list_contains(middle, 'Accessories') or path[-1] like '%Accessories' or len(list_filter(below, lambda s: s like '%Accessories')) > 0 as accessory,
+regexp_replace(regexp_replace(lower(array_to_string(list_filter(path[-2:], lambda s: s <> ''), '-')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from m)
+select array_to_string(path, ' > ') as path, case when len(path) = 1 then 'family' when part then 'part' when accessory then 'accessory' when path[1] = 'Services' or regexp_matches(path[-1], '{"|".join(ops.SERVICES)}', 'i') then 'service' else 'primary' end as tier,
+case when slug = '' then 'unmapped' else left(slug, 64) end as key from t""")
 def taxonomy_infer_tier(spark: SparkSession, d: str) -> DataFrame:
     """Tier and key of every source path; the rules are covered by tests."""
     from reefglass.operators.filters import json_array
@@ -263,7 +270,8 @@ def capacity_display(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", scoring.capacity_display(kind, n, total, n, n, kind == "bed_space").alias("capacity"))
 
 
-@query("card_build")
+@query("card_build", f"""with {_D} select id, json_merge_patch('{{}}', json_object('title', coalesce(nullif(trim(title_en, ' '), ''), title_dv), 'place', island,
+'price', case when price is null then 'Price on request' else coalesce(nullif(currency, ''), 'MVR') || ' ' || format('{{:,.0f}}', round_even(price::double, 0)) || ' / month' end, 'picture', thumbnails[1]))::varchar as card from d""")
 def card_build(spark: SparkSession, d: str) -> DataFrame:
     """The card of every record as JSON."""
     docs = _docs(spark, d, "title_en", "title_dv", "island", "price", "currency", "thumbnails")

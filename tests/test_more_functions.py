@@ -161,6 +161,17 @@ def test_search_over_all_sides_equals_brute_force(spark, data_dir):
     assert {r.qid for r in run("interleave_by_type")} == {k[0] for k in want}
 
 
+def test_sketched_discovery_is_near_the_exact_one(spark, data_dir):
+    from reefglass.operators import facets
+    from reefglass.plans import catalog, filter_queries
+
+    q = catalog.queries()
+    exact = {r.spec_key: r for r in facets.discover(filter_queries.cells(spark, data_dir), filter_queries._kinds(spark, data_dir), spark.read.parquet(f"{data_dir}/search_document.parquet").select("id").distinct().count(), {**facets.config.DISCOVERY, "facets": 100, "min_coverage": 0.0}).collect()}
+    for r in q["facet_discovery_sketched"](spark, data_dir).collect():
+        assert abs(r.documents - exact[r.spec_key].documents) <= 1 + 3 * facets.SKETCH_ERROR * exact[r.spec_key].documents
+        assert abs(r.entropy - exact[r.spec_key].entropy) < 0.05
+
+
 def test_table_rows_give_pairs(spark):
     from reefglass.functions import extract
 
