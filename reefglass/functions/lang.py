@@ -259,17 +259,34 @@ def is_clean_translation(c: Column, target: str) -> Column:
     return ~contains_thaana(c) if target == "en" else contains_thaana(c) & ~c.rlike("[A-Za-z]{4,}")
 
 
-def chunks(c: Column, size: int = 3500) -> Column:
-    """Pieces of at most about ``size`` characters, cut after sentences; nothing is lost."""
-    sentences = F.filter(F.split(F.coalesce(c, F.lit("")), r"(?<=[.!?؟\n])"), lambda s: s != "")
-    start = F.array().cast("array<string>")
+#: Where a text may be cut, the best place first.
+BOUNDARIES = ("\n", ".", "،", ",", "۔", " ")
+
 
-    def add(acc: Column, s: Column) -> Column:
-        last = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-        joined = (F.size(acc) > 0) & (F.length(last) + F.length(s) <= size)
-        return F.when(joined, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(last, s)))).otherwise(F.concat(acc, F.array(s)))
+def boundary(c: Column, size: int) -> Column:
+    """Where a piece of at most ``size`` characters ends: behind the last of the best separator found past its half, else at ``size``."""
+    head = F.substring(c, 1, size)
+    end = F.lit(size)
+    for sep in reversed(BOUNDARIES):
+        back = F.instr(F.reverse(head), sep)  # 1 for the last character
+        at = F.length(head) - back  # counted from 0
+        end = F.when((back > 0) & (at > size * 0.5), at + 1).otherwise(end)
+    return F.when(F.length(c) <= size, F.length(c)).otherwise(end)
 
-    return F.aggregate(sentences, start, add)
+
+def chunks(c: Column, size: int = 3500) -> Column:
+    """Pieces of at most ``size`` characters, cut at ``boundary``; nothing is lost. '' gives none."""
+    text = F.coalesce(c, F.lit(""))
+    start = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("parts"))
+
+    def step(acc: Column, _: Column) -> Column:
+        rest = acc["rest"]
+        end = boundary(rest, size)
+        parts = F.when(rest == "", acc["parts"]).otherwise(F.concat(acc["parts"], F.array(F.substring(rest, F.lit(1), end))))
+        return F.struct(F.substring(rest, end + 1, F.length(rest)).alias("rest"), parts.alias("parts"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.length(text) / (size * 0.5)).cast("int") + 1)
+    return F.aggregate(rounds, start, step, lambda acc: acc["parts"])
 
 
 MAX_VARIANTS, MAX_TOKEN = 24, 24

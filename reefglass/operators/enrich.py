@@ -52,6 +52,49 @@ def card(docs: DataFrame) -> Column:
     ))
 
 
+def assembled_input(docs: DataFrame, limit: int = 3500) -> DataFrame:
+    """(id, text, chars, thaana, cut): what a model is given of a record: its titles and summaries, one a line, no line twice, the first ``limit`` characters.
+
+    cut tells that the record has more; nothing is computed from the input but the model's answer.
+    """
+    lines = F.array_distinct(F.filter(F.array(*[F.trim(F.coalesce(c, F.lit(""))) for c in ("title_en", "title_dv", "summary_en", "summary_dv")]), lambda x: x != ""))
+    whole = F.array_join(lines, "\n")
+    rows = docs.select("id", whole.alias("whole"), F.substring(whole, 1, limit).alias("text"))
+    return rows.select("id", "text", F.length("text").alias("chars"), lang.contains_thaana(F.col("text")).alias("thaana"), (F.length("whole") > limit).alias("cut"))
+
+
+def scraped_wins(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """rows plus, per field f, its value (what was scraped, else what the model says) and needs_review, with the names of the fields on which both differ.
+
+    rows has the columns s_f (scraped) and m_f (model); answers are compared by words, without case and marks.
+    """
+    said = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    values = [F.when(said(F.col(f"s_{f}")), F.col(f"s_{f}")).otherwise(F.when(said(F.col(f"m_{f}")), F.col(f"m_{f}"))).alias(f) for f in fields]
+    clash = F.filter(F.array(*[F.when(said(F.col(f"s_{f}")) & said(F.col(f"m_{f}")) & (lang.normalize_for_match(F.col(f"s_{f}")) != lang.normalize_for_match(F.col(f"m_{f}"))), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
+    return rows.select("*", *values, F.array_join(clash, ",").alias("conflicts"), (F.size(clash) > 0).alias("needs_review"))
+
+
+def cards(docs: DataFrame, as_of: Column) -> Column:
+    """The card of a record by its kind, as JSON without empty entries: jobs with deadline, listings with price and pictures, news with date and summary."""
+    from reefglass.functions import dates
+
+    def text(*cols: str) -> Column:
+        return F.coalesce(*[F.nullif(F.trim(c), F.lit("")) for c in cols])
+
+    title, place = text("title_en", "title_dv").alias("title"), text("island").alias("place")
+    price = F.when(F.col("price").isNotNull(), scoring.rent_display(F.col("price"), F.col("currency"), F.lit("month"))).alias("price")
+    day = lambda c, n: F.date_format(c, "yyyy-MM-dd").alias(n)
+    pictures = F.nullif(F.coalesce(F.size("thumbnails"), F.lit(0)), F.lit(0)).alias("pictures")
+    by_kind = {
+        "job": (title, place, day("expires_at", "deadline"), dates.deadline_state(F.col("expires_at"), as_of).alias("state")),
+        "property": (title, place, price, pictures), "shopping": (title, text("category_leaf").alias("category"), price, pictures),
+    }
+    out = F.to_json(F.struct(title, text("summary_en", "summary_dv").alias("summary"), day("published_at", "date")))
+    for kind, entries in by_kind.items():
+        out = F.when(F.col("doc_type") == kind, F.to_json(F.struct(*entries))).otherwise(out)
+    return out
+
+
 def ground_json(value: str | None, source: str, numbers: set[str]) -> tuple[str, list[str]]:
     """Keeps the leaves of a JSON value that its source supports; returns it with the paths dropped.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reefglass.functions import dates, extract, lang, scoring
-from reefglass.operators import catalog_ops, eav_project, facets
+from reefglass.operators import catalog_ops, eav_project, enrich, facets
 from reefglass.operators.filters import json_array
 from reefglass.operators.search import documents
 from reefglass.plans.filter_queries import _CELLS, cells
@@ -180,3 +180,58 @@ def ancestors_of_paths(spark: SparkSession, d: str) -> DataFrame:
     steps = F.transform(F.sequence(F.lit(2), F.size("path")), lambda i: F.struct(F.array_join(F.slice("path", 1, i), " > ").alias("node"), F.array_join(F.slice("path", 1, i - 1), " > ").alias("parent")))
     paths = documents(spark, d, "id", "attrs").select(path.alias("path")).where(F.size("path") > 1).distinct()
     return catalog_ops.ancestors(paths.select(F.inline(steps)).distinct())
+
+
+@query("enrichment_input", """with d as (select distinct id, title_en, title_dv, summary_en, summary_dv from search_document),
+l as (select id, [trim(coalesce(title_en, ''), ' '), trim(coalesce(title_dv, ''), ' '), trim(coalesce(summary_en, ''), ' '), trim(coalesce(summary_dv, ''), ' ')] as l from d),
+w as (select id, array_to_string(list_filter(list_transform(list_zip(l, range(1, 5)), lambda z: case when list_position(l, z[1]) = z[2] then z[1] else '' end), lambda x: x <> ''), chr(10)) as whole from l)
+select id, left(whole, 3500) as text, length(left(whole, 3500))::integer as chars, regexp_matches(left(whole, 3500), '[ހ-޿]') as thaana, length(whole) > 3500 as cut from w""")
+def enrichment_input(spark: SparkSession, d: str) -> DataFrame:
+    return enrich.assembled_input(documents(spark, d, "id", "title_en", "title_dv", "summary_en", "summary_dv"))
+
+
+_MATCH = "trim(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' ')"
+_DIFFER = "trim(coalesce({0}, ''), ' ') <> '' and trim(coalesce({1}, ''), ' ') <> '' and {2} <> {3}"
+
+
+def _clash(a: str, b: str) -> str:
+    return _DIFFER.format(a, b, _MATCH.format(a), _MATCH.format(b))
+
+
+@query("scraped_wins_merge", f"""with d as (select distinct id, source, source_key, title_en, summary_en from search_document), e as (select distinct record_id, source, source_key, canonical_title_en as m_title, summary_en as m_summary from enriched_record),
+j as (select record_id, title_en as s_title, m_title, d.summary_en as s_summary, m_summary from d join e using (source, source_key)), c as (select *, {_clash('s_title', 'm_title')} as ct, {_clash('s_summary', 'm_summary')} as cs from j)
+select record_id, case when trim(coalesce(s_title, ''), ' ') <> '' then s_title when trim(coalesce(m_title, ''), ' ') <> '' then m_title end as title, case when trim(coalesce(s_summary, ''), ' ') <> '' then s_summary when trim(coalesce(m_summary, ''), ' ') <> '' then m_summary end as summary,
+case when ct and cs then 'title,summary' when ct then 'title' when cs then 'summary' else '' end as conflicts, ct or cs as needs_review from c""")
+def scraped_wins_merge(spark: SparkSession, d: str) -> DataFrame:
+    """What was scraped wins over what the model says; where both speak and differ, the record needs review."""
+    docs = documents(spark, d, "id", "source", "source_key", F.col("title_en").alias("s_title"), F.col("summary_en").alias("s_summary"))
+    records = read_table(spark, d, "enriched_record", "record_id", "source", "source_key", F.col("canonical_title_en").alias("m_title"), F.col("summary_en").alias("m_summary")).dropDuplicates(["record_id"])
+    return enrich.scraped_wins(docs.join(records, ["source", "source_key"]), ("title", "summary")).select("record_id", "title", "summary", "conflicts", "needs_review")
+
+
+_PRICE = "case when price is not null then coalesce(nullif(currency, ''), 'MVR') || ' ' || format('{{:,.0f}}', round_even(price::double, 0)) || ' / month' end"
+_T = "coalesce(nullif(trim(title_en, ' '), ''), nullif(trim(title_dv, ' '), ''))"
+
+
+@query("cards_by_type", f"""with d as (select distinct id, doc_type, title_en, title_dv, summary_en, summary_dv, island, price, currency, category_leaf, thumbnails, expires_at, published_at from search_document), s as (select *, date_diff('day', date '2025-01-01', expires_at::date) as days from d)
+select id, json_merge_patch('{{}}', case doc_type
+when 'job' then json_object('title', {_T}, 'place', nullif(trim(island, ' '), ''), 'deadline', strftime(expires_at, '%Y-%m-%d'), 'state', case when days < 0 then 'closed' when days <= 7 then 'closing_soon' when days > 7 then 'open' end)
+when 'property' then json_object('title', {_T}, 'place', nullif(trim(island, ' '), ''), 'price', {_PRICE.replace("{{", "{").replace("}}", "}")}, 'pictures', nullif(len(thumbnails), 0))
+when 'shopping' then json_object('title', {_T}, 'category', nullif(trim(category_leaf, ' '), ''), 'price', {_PRICE.replace("{{", "{").replace("}}", "}")}, 'pictures', nullif(len(thumbnails), 0))
+else json_object('title', {_T}, 'summary', coalesce(nullif(trim(summary_en, ' '), ''), nullif(trim(summary_dv, ' '), '')), 'date', strftime(published_at, '%Y-%m-%d')) end)::varchar as card from s""")
+def cards_by_type(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d, "id", "doc_type", "title_en", "title_dv", "summary_en", "summary_dv", "island", "price", "currency", "category_leaf", "thumbnails", "expires_at", "published_at")
+    return docs.select("id", enrich.cards(docs, F.lit(AS_OF).cast("timestamp")).alias("card"))
+
+
+@query("text_pieces", """with recursive d as (select distinct iulaan_id, regexp_replace(coalesce(body, ''), '<[^>]*>', ' ', 'g') as t from iulaan where iulaan_id is not null),
+p as (select iulaan_id, t as rest, 0 as no, '' as piece from d union all
+select iulaan_id, substr(rest, e + 1), no + 1, left(rest, e) from (select *, case when length(rest) <= 120 then length(rest) else coalesce(
+(select 121 - list_min([x for x in [instr(reverse(left(rest, 120)), s)] if x > 0 and 120 - x > 60]) from (select chr(10) as s)), (select 121 - x from (select instr(reverse(left(rest, 120)), '.') as x) where x > 0 and 120 - x > 60), (select 121 - x from (select instr(reverse(left(rest, 120)), '،') as x) where x > 0 and 120 - x > 60),
+(select 121 - x from (select instr(reverse(left(rest, 120)), ',') as x) where x > 0 and 120 - x > 60), (select 121 - x from (select instr(reverse(left(rest, 120)), '۔') as x) where x > 0 and 120 - x > 60), (select 121 - x from (select instr(reverse(left(rest, 120)), ' ') as x) where x > 0 and 120 - x > 60), 120) end as e from p where rest <> ''))
+select iulaan_id, no, piece from p where no > 0""")
+def text_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Notices in pieces of at most 120 characters, cut at the best boundary past the half."""
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), "<[^>]*>", " ")
+    rows = _notices(spark, d).where("iulaan_id is not null")
+    return rows.select("iulaan_id", F.posexplode(lang.chunks(body, 120)).alias("at", "piece")).select("iulaan_id", (F.col("at") + 1).alias("no"), "piece")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import zipfile
 
 import pytest
@@ -172,6 +173,46 @@ def test_sketched_discovery_is_near_the_exact_one(spark, data_dir):
         assert abs(r.entropy - exact[r.spec_key].entropy) < 0.05
 
 
+def test_snapshots_merge_each_batch_once(spark, tmp_path):
+    """Batches and streams into one table: later rows replace earlier ones, a repeated batch changes nothing, marks are cleared."""
+    from reefglass.sources.sinks import SnapshotTable, cleared
+
+    schema = "k long, v string, stale_marked_at timestamp"
+    t = SnapshotTable(spark, str(tmp_path / "table"))
+    assert t.read() is None
+    t.replace(spark.createDataFrame([(1, "a", dt.datetime(2024, 1, 1)), (2, "b", None)], schema))
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate([[(1, "c", dt.datetime(2024, 2, 1))], [(3, "d", None), (1, "e", None)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    merge = t.merge_batches(["k"], F.col("v"), cleared)
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(120)
+    want = {(1, "e", None), (2, "b", None), (3, "d", None)}
+    assert {tuple(r) for r in t.read().collect()} == want
+    before = t.pointer()
+    merge(spark.createDataFrame([(9, "x", None)], schema), 0)  # delivered again after a failure
+    assert t.pointer() == before and {tuple(r) for r in t.read().collect()} == want
+    t.upsert(spark.createDataFrame([(2, "z", None), (2, "y", None)], schema), ["k"], F.col("v"))
+    assert {tuple(r) for r in t.read().collect()} == want - {(2, "b", None)} | {(2, "z", None)}
+
+
+def test_pieces_lose_nothing(spark):
+    from reefglass.functions import lang
+
+    texts = ["", None, "short", "x" * 25, "one two three four five, six. seven\neight nine ten eleven", "no boundary" * 9, "a. " * 40]
+
+    def plain(t, size):
+        out = []
+        while t:
+            end = len(t) if len(t) <= size else next((p + 1 for s in lang.BOUNDARIES if (p := t[:size].rfind(s)) > size * 0.5), size)
+            out.append(t[:end])
+            t = t[end:]
+        return out
+
+    got = spark.createDataFrame([(x,) for x in texts], "t string").select("t", lang.chunks(F.col("t"), 10).alias("p")).collect()
+    assert [r.p for r in got] == [plain(r.t or "", 10) for r in got]
+
+
 def test_table_rows_give_pairs(spark):
     from reefglass.functions import extract
 
