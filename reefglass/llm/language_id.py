@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefglass.functions.text import is_filler
+from reefglass.llm.batches import sliced
 from reefglass.llm.labels import LANGUAGES, language_label
 from reefglass.sources.tables import read_table
 
@@ -45,7 +46,7 @@ _STRIP = ".,;:!?\"'“”‘’«»()[]{}<>|/\\-–—*_•…،؛؟#+=~`"
 _LATIN = re.compile(r"[a-z]+(?:['’.\-/&][a-z]+)*$")
 _THAANA = re.compile(r"[ހ-޿]+(?:['’.\-/][ހ-޿]+)*$")
 _ARABIC = re.compile(r"[ء-ٟٮ-ۓۺ-ۿ]+(?:['’.\-/][ء-ٟٮ-ۓۺ-ۿ]+)*$")
-_NUMBERISH = re.compile(r"[\W\d_]*$|\W*[\d٠-٩][\d٠-٩.,:/\-%]*[a-z]{0,3}\W*$|&[a-z#0-9]+;$|\S+@\S+\.\S+$|https?:\S+$|www\.\S+$")
+_NUMBERISH = re.compile(r"[\W\d_]*+$|\W*+[\d٠-٩][\d٠-٩.,:/\-%]*+[a-z]{0,3}\W*$|&[a-z#0-9]+;$|\S+@\S+\.\S+$|https?:\S+$|www\.\S+$")
 _ALLOWED = {"latin": np.array([1, 0, 1, 0], bool), "thaana": np.array([0, 1, 0, 0], bool), "arabic": np.array([0, 0, 0, 1], bool)}
 
 
@@ -307,7 +308,7 @@ def identify(texts: DataFrame, params: dict[str, np.ndarray] | None, only_cases:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words(params)
         names = list(LANGUAGES)
-        for pdf in batches:
+        for pdf in sliced(batches):
             split = [t.split() for t in pdf["text"]]
             words.learn(set(chain.from_iterable(split)))
             code, sure = words.code, words.sure

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reefglass.checkpoints import cut
+from reefglass.llm.batches import sliced
 from reefglass.sources.tables import read_table
 
 STATS = (
@@ -58,7 +59,8 @@ _TOKEN = re.compile(
 _EMAIL = re.compile(r"^[\w.+-]+@[\w-]+\.[\w.]+[.,;]?$|^(?:https?://|www\.)\S+$")
 _BULLET = re.compile(r"^\s*(?:[-*+•◦▪·●○■□▢►–—»>]+\s+|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4}|[ހ-ޥ])[).]\s+|\[[ xX]?\]\s+)\S")
 _STOP = re.compile(r"[.!?؟۔…:]['\")\]”’»]*\s*$")
-_SENTENCE = re.compile(r"[^\W\d_ހ-޿]{2,}[.!?؟]['\")\]]*(?:\s|$)|[ހ-޿]{2,}[.!?؟](?:\s|$)|[\d)]\.(?:\s|$)")
+#: Where a run of letters begins only, so that long runs are read once.
+_SENTENCE = re.compile(r"(?<![^\W\d_ހ-޿])[^\W\d_ހ-޿]{2,}+[.!?؟]['\")\]]*+(?:\s|$)|(?<![ހ-޿])[ހ-޿]{2,}+[.!?؟](?:\s|$)|[\d)]\.(?:\s|$)")
 
 
 def _cells(line: str) -> tuple[str, int] | None:
@@ -182,8 +184,10 @@ class _Kinds:
         self.table = np.full(0x110000, 255, np.uint8)
 
     def of(self, points: np.ndarray) -> np.ndarray:
-        new = np.unique(points)
-        for p in new[self.table[new] == 255]:
+        found = self.table[points]
+        if not (found == 255).any():
+            return found
+        for p in np.unique(points[found == 255]):
             c = unicodedata.category(chr(p))[0] if not 0xD800 <= p < 0xE000 else "C"
             kind = {"S": 1, "P": 1, "N": 2, "Z": 3}.get(c, 3 if p in (9, 10, 13) else 0)
             script = 1 if 0x780 <= p <= 0x7BF else 2 if 0x600 <= p <= 0x6FF and c == "L" else 3 if c == "L" else 0
@@ -191,6 +195,13 @@ class _Kinds:
         return self.table[points]
 
 
+def _char_counts(text: str, kinds: _Kinds, piece: int = 1_000_000) -> np.ndarray:
+    out = np.zeros(16, dtype=np.int64)
+    for i in range(0, len(text), piece):
+        out += np.bincount(kinds.of(np.frombuffer(text[i : i + piece].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)), minlength=16)
+    return out
+
+
 def batch_statistics(texts: list[str | None], kinds: _Kinds) -> tuple[np.ndarray, list[str]]:
     """(the values of ``STATS``, the language each text is written in or 'und').
 
@@ -217,9 +228,7 @@ def batch_statistics(texts: list[str | None], kinds: _Kinds) -> tuple[np.ndarray
         totals, distinct, most = np.zeros((len(texts), 5 + len(LANGUAGES))), np.zeros(len(texts)), np.zeros(len(texts))
     repeat = np.where(size >= 4, np.maximum(most / n, np.where((size >= 12) & (distinct <= 6), 1 - distinct / n, 0.0)), 0.0)
     length = np.array([len(t) for t in texts], dtype=np.int64)
-    kind = kinds.of(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
-    char_owner = np.repeat(np.arange(len(texts)), length)
-    count = np.bincount(char_owner * 16 + kind, minlength=16 * len(texts))[: 16 * len(texts)].reshape(-1, 4, 4)  # text x script x kind
+    count = np.stack([_char_counts(t, kinds) for t in texts]).reshape(-1, 4, 4) if texts else np.zeros((0, 4, 4))  # text x script x kind
     by_kind, by_script = count.sum(1), count.sum(2)
     visible = np.maximum(1, length - by_kind[:, 3])
     lines = np.array([line_shares(t) for t in texts]).reshape(-1, 4)
@@ -246,7 +255,7 @@ def statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kinds = _Kinds()
-        for pdf in batches:
+        for pdf in sliced(batches):
             values, lang = batch_statistics(pdf["text"].tolist(), kinds)
             out = pd.DataFrame(values, columns=names, dtype=float)
             out.insert(0, "lang", lang)

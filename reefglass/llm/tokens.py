@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reefglass.llm.batches import sliced
+
 #: Folder and file of the vocabulary; a parameter, the file is never copied.
 TOKENIZER = os.environ.get("REEFGLASS_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 #: Fixed value: how these vocabularies split text before merging.
@@ -38,7 +40,7 @@ def token_sizes(docs: DataFrame, path: str = TOKENIZER, quality=None) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        for pdf in batches:
+        for pdf in sliced(batches):
             texts = pdf["text"].tolist()
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "source": pdf["source"], "tokens": [count_tokens(enc, t) for t in texts],

@@ -504,6 +504,38 @@ def test_many_of_a_kind_are_no_norm(spark, text, kind, share):
     assert all(r.k == (kind if r.doc_id < n else "prose") for r in got)
 
 
+def test_batches_are_cut_by_their_texts():
+    from reefglass.llm.batches import sliced
+
+    texts = ["a" * 30, None, "", "b" * 500, "c" * 10, "d" * 10, "e" * 95]
+    frames = list(sliced(iter([pd.DataFrame({"i": range(7), "text": texts}), pd.DataFrame({"i": [], "text": []})]), most=100))
+    assert [i for f in frames for i in f["i"]] == list(range(7)) and len(frames) > 3
+    assert all(sum(len(t or "") for t in f["text"]) <= 200 or len(f) <= 3 for f in frames)
+
+
+@pytest.mark.parametrize("text", ["x" * 500_000, "ކ" * 300_000, "1" + "," * 300_000 + "xxxxx", "." * 500_000, "a." * 200_000, "@." * 200_000, "- " * 200_000, "a,b;" * 100_000, "(" * 300_000, "\"'" * 200_000])
+def test_long_runs_take_linear_time(text):
+    import time
+
+    start = time.time()
+    text_stats.batch_statistics([text], text_stats._Kinds())
+    w = li.Words(None)
+    w.learn(set(text.split()))
+    truncation.verdict(text)
+    list(truncation.beginnings(iter([pd.DataFrame({"text": [text], "field_no": [1], "tid": [1]})]), False))
+    mixing.text_quality([text])
+    assert time.time() - start < 20
+
+
+def test_statistics_do_not_depend_on_the_batch(spark, data_dir):
+    texts = [r.text for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("text").collect()] + [None, "", " ", "\ud7ff 😀" * 10, "x" * 1_200_000]
+    whole, lang = text_stats.batch_statistics(texts, text_stats._Kinds())
+    for i in [*range(0, len(texts), 7), len(texts) - 1]:
+        one, own = text_stats.batch_statistics([texts[i]], text_stats._Kinds())
+        assert np.allclose(whole[i], one[0]) and lang[i] == own[0], texts[i]
+    assert text_stats.batch_statistics([], text_stats._Kinds())[0].shape == (0, len(text_stats.STATS))
+
+
 def test_sketches_give_quantiles(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(5, 2, 20_000)
