@@ -58,7 +58,6 @@ _TOKEN = re.compile(
 )
 _EMAIL = re.compile(r"^[\w.+-]+@[\w-]+\.[\w.]+[.,;]?$|^(?:https?://|www\.)\S+$")
 _BULLET = re.compile(r"^\s*(?:[-*+•◦▪·●○■□▢►–—»>]+\s+|\(?(?:\d{1,3}|[a-zA-Z]|[ivxIVX]{1,4}|[ހ-ޥ])[).]\s+|\[[ xX]?\]\s+)\S")
-_STOP = re.compile(r"[.!?؟۔…:]['\")\]”’»]*\s*$")
 #: Where a run of letters begins only, so that long runs are read once.
 _SENTENCE = re.compile(r"(?<![^\W\d_ހ-޿])[^\W\d_ހ-޿]{2,}+[.!?؟]['\")\]]*+(?:\s|$)|(?<![ހ-޿])[ހ-޿]{2,}+[.!?؟](?:\s|$)|[\d)]\.(?:\s|$)")
 

@@ -61,7 +61,6 @@ SYNONYMS = {
     "reconditioned": "refurbished", "refurb": "refurbished", "inox": "stainless steel", "grp": "fibreglass", "fiberglass": "fibreglass",
     "lightly used": "lightly used", "slightly used": "lightly used", "for parts": "spare parts only", "parts only": "spare parts only",
 }
-_WORD = re.compile(r"[^\W_]+(?:[ހ-޿]+)*", re.UNICODE)
 _SEPARATORS = re.compile(r"[^a-z0-9ހ-޿؀-ۿ]+")
 
 
