@@ -261,6 +261,26 @@ def _early(spark, texts):
     return {of[r.tid]: r.early for r in truncation.early_ends(spark, df).collect()}
 
 
+def test_verdicts_read_the_end_as_the_whole(spark, data_dir):
+    """The shortened look at the end gives what the patterns give on the whole text."""
+    import re
+
+    stop = re.compile(r"[.!?؟。۔][\"'”’)\]»]*$")
+
+    def plain(text):
+        t = text.rstrip()
+        if truncation._REMARK.search(t) and not truncation._MARK.search(t):
+            return "whole"
+        if truncation._MARK.search(t) or t.count("(") > t.count(")"):
+            return "cut"
+        return "whole" if stop.search(t) else "cut" if truncation._BARE_CONSONANT.search(t) else "open"
+
+    texts = [r.text for r in truncation.values(spark, data_dir).select("text").collect()]
+    ends = ["", ".", "..", "...", " [....]", " [" + "." * 40 + "]", "(cont", " (more)", "&nbsp", "&#39", "-", " call 555-0123", " #A17", " #toolongtobearemark", " (MVR 120)", ".\"", "?)", "]", ")", "5", " ref no. 12-34-", "ކ", "ކަ", ",", "…", " tel +960 7771234"]
+    texts += [t + e for t in ("One two", "ކުރި", "", "a (b", "#x 12") for e in ends]
+    assert [truncation.verdict(t) for t in texts] == [plain(t) for t in texts]
+
+
 def test_near_copies_equal_brute_force(spark):
     """Texts cut at a word or in one, some with a word changed as well: what aligning all pairs finds is found, and nothing else."""
     rng = random.Random(5)
