@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 import unicodedata
@@ -35,6 +36,12 @@ _ZERO_WIDTH = "[​‌‍⁠﻿]"
 FILI = "[ަ-ް]"
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    """A map as one literal, folded before a row is read; a map of many literals is slow to plan."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in table.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+@functools.cache
 def _composed() -> dict[str, str]:
     """Latin letter and combining mark -> the composed letter, by the rule of Unicode's canonical composition."""
     letters = [chr(x) for x in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
@@ -44,7 +51,7 @@ def _composed() -> dict[str, str]:
 
 def compose(c: Column) -> Column:
     """Letters and the combining mark behind them as one letter (NFC of Latin letters with one mark); other text as it is."""
-    table = F.create_map(*[F.lit(x) for kv in _composed().items() for x in kv])
+    table = literal_map(_composed())
     pieces = F.regexp_extract_all(c, F.lit("(?s).[\u0300-\u036f]?"), 0)
     whole = F.array_join(F.transform(pieces, lambda p: F.when(F.length(p) == 2, F.coalesce(F.try_element_at(table, p), p)).otherwise(p)), "")
     return F.when(c.rlike("[\u0300-\u036f]"), whole).otherwise(c)
@@ -141,7 +148,7 @@ def query_script(c: Column) -> Column:
 
 def translit_dv_to_latin(c: Column) -> Column:
     """Primary Latin reading of every Thaana letter, other characters as they are."""
-    table = F.create_map(*[x for ch, r in READINGS.items() for x in (F.lit(ch), F.lit(r[0] if r else ""))])
+    table = literal_map({ch: r[0] if r else "" for ch, r in READINGS.items()})
     return F.array_join(F.transform(F.split(F.coalesce(c, F.lit("")), ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
 
 
