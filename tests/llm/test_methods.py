@@ -336,6 +336,46 @@ def test_near_copies_of_every_text_of_a_form(spark):
     assert {t for t in got if t != f"{x}."} == {x, f"{x} ", y} and not got[x]  # the stopped copy shows that a sentence ends there
 
 
+def _early_plainly(texts):
+    """The same by aligning all pairs, where no text ends in a stop."""
+    kinds = {t: {truncation.goes_on(t, u) for u in texts} - {None} for t in texts if truncation.verdict(t) == "open"}
+    return {t: "after" not in k for t, k in kinds.items() if k}
+
+
+def test_near_copies_behind_many_others(spark):
+    """Of very many texts that share a key, the one that is a near-copy is found, wherever it sorts."""
+    texts = []
+    for place in ("north", "south", "east", "west", "old", "new", "upper", "lower"):
+        begun = f"tenders are invited for the work at the {place} end of the"
+        texts += [f"{begun} pa{w} today" for w in ("ck", "ge", "il", "in", "ir", "le", "lm", "nel", "per", "st", "th", "tio", "ve", "wn")]
+        texts += [f"{begun} park today", f"{begun} par"]
+    for pay in range(300, 308):
+        post = "the post carries a basic salary of mvr {} and a monthly allowance of"
+        texts += [f"{post.format(pay)} mvr {pay}", f"{post.format(pay)}", f"{post.format(pay)} - call"][: 2 + pay % 2]
+    texts += [f"{post.format(n)} mvr {n}" for n in range(400, 440)] + [f"{post.format(n)} - call" for n in range(500, 540)]
+    want = _early_plainly(texts)
+    assert len(want) >= 16 and set(want.values()) == {True, False}
+    assert _early(spark, texts) == want
+
+
+def test_every_near_copy_is_found(spark):
+    """Texts with words changed, left out or added anywhere, the last ones too: exactly what aligning all pairs finds."""
+    rng = random.Random(11)
+    words = [f"w{chr(97 + i % 26)}{i}x" for i in range(60)]
+    texts = []
+    for _ in range(260):
+        full = rng.choices(words, k=rng.choice([6, 9, 13, 14, 30, 60]))
+        cut = full[: rng.randint(max(5, len(full) * 8 // 10), len(full))]
+        for _ in range(rng.randint(0, 2) if len(cut) > 12 else 0):
+            i = rng.choice([0, rng.randrange(len(cut)), len(cut) - 2])
+            cut[i : i + rng.randint(0, 1)] = rng.choices(words, k=rng.randint(0, 1))
+        if rng.random() < 0.3:
+            cut[-1] = cut[-1][: rng.randint(1, 3)]
+        texts += [" ".join(full), " ".join(cut)]
+    want = _early_plainly(texts)
+    assert len(want) > 60 and _early(spark, texts) == want
+
+
 def test_one_text_in_very_many_rows(spark):
     t = "notice of the sale of an old boat that lies in the inner harbour"
     assert _early(spark, [t] * 3000 + [f"{t} of Male"] * 2000) == {t: True}
