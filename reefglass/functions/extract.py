@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ ISO_DATE = r"(20\d{2})[-/](\d{1,2})[-/](\d{1,2})"
 DMY_DATE = r"(\d{1,2})[-/](\d{1,2})[-/](20\d{2})"
 TEXT_DATE = r"(\d{1,2})\s+([A-Za-z]{3,9})\s+(20\d{2})"
 DV_DATE, DV_YEAR_FIRST = r"(\d{1,2})\s+([ހ-޿]+)\s+(20\d{2})", r"(20\d{2})\s+([ހ-޿]+)\s+(\d{1,2})"
+_WITH_DIGIT = r"[^\s\d]*+\d\S*+"
+_NEAR_DIGITS = rf"\s*+([^\s\d]++\s++)*+({_WITH_DIGIT}(?:\s++(?:[^\s\d]++\s++)?{_WITH_DIGIT})*+(?:\s++[^\s\d]++)?)|[\s\S]++"  # or the rest, which has no digit
 IDENTIFIER = r"\([A-Za-z]+\)|[A-Za-z0-9][A-Za-z0-9()/.\-:]*"
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 #: Stems of Thaana month names.
@@ -82,21 +86,47 @@ def marked_amounts(c: Column) -> Column:
     return F.array_distinct(F.concat(*[marked(*m) for m in MARKED]))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is computed once: an expression that stands in a lambda is computed for each of its elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def near_digits(c: Column) -> Column:
+    """The words with digits and their neighbours, as they stand; a mark takes the place of the rest.
+
+    No phone, amount, quantity or date has two words without digits in a row, or looks further than the space around its words, so each is found here as in the text.
+    """
+    return F.regexp_replace(_text(c), _NEAR_DIGITS, "$1$2 # ")
+
+
 def candidates(c: Column) -> Column:
     """struct(phones, emails, urls, money, units, dates) of a text: what a reader of it may state as a fact.
 
     money: the marked amounts, then, as MVR, the other numbers that are no phone, no quantity, no year and no part of a date.
     """
     t = _text(c)
-    phones, found = all_phones(t), dates(t)
-    marked_raw = F.concat(*[F.regexp_extract_all(t, F.lit(p), 1) for _, p in MARKED])
-    parts = F.flatten(F.transform(found, lambda d: F.split(d, "-")))
-    bare = F.filter(
-        F.regexp_extract_all(F.regexp_replace(t, _QUANTITY, " "), F.lit(BARE), 1),
-        lambda x: ~F.array_contains(marked_raw, x) & ~F.array_contains(phones, x) & ~x.rlike(r"^20\d\d$") & ~F.array_contains(parts, x),
-    )
-    money = F.array_distinct(F.concat(marked_amounts(t), F.transform(bare, lambda x: F.struct(F.lit("MVR").alias("currency"), _number(x).alias("amount")))))
-    return F.struct(phones.alias("phones"), emails(t).alias("emails"), urls(t).alias("urls"), money.alias("money"), units(t).alias("units"), found.alias("dates"))
+    none = F.array().cast("array<string>")
+    currencies = list(dict.fromkeys([cur for cur, _ in MARKED] + ["MVR"]))
+
+    def found(near: Column) -> Column:
+        marked = [F.flatten(F.array(*[F.regexp_extract_all(near, F.lit(p), 1) for x, p in MARKED if x == cur])).alias(cur) for cur in currencies]
+        numbers = F.regexp_extract_all(F.regexp_replace(near, _QUANTITY, " "), F.lit(BARE), 1)
+        return F.struct(all_phones(near).alias("phones"), units(near).alias("units"), dates(near).alias("dates"), numbers.alias("numbers"), *marked)
+
+    def facts(x: Column) -> Column:
+        parts = F.flatten(F.transform(x["dates"], lambda d: F.split(d, "-")))
+        bare = F.array_except(F.filter(x["numbers"], lambda n: ~n.rlike(r"^20\d\d$")), F.concat(x["phones"], parts, *[x[cur] for cur in currencies]))
+
+        def amounts(cur: str) -> Column:
+            values = F.array_distinct(F.transform(F.concat(x[cur], bare) if cur == "MVR" else x[cur], _number))
+            return F.transform(values, lambda v: F.struct(F.lit(cur).alias("currency"), v.alias("amount")))
+
+        money = F.concat(*[amounts(cur) for cur in currencies])
+        mail = F.when(t.contains("@"), emails(t)).otherwise(none)
+        links = F.when(t.contains("http"), urls(t)).otherwise(none)
+        return F.struct(x["phones"].alias("phones"), mail.alias("emails"), links.alias("urls"), money.alias("money"), x["units"].alias("units"), x["dates"].alias("dates"))
+
+    return _let(near_digits(t), lambda near: _let(found(near), facts))
 
 
 def units(c: Column) -> Column:
@@ -127,14 +157,16 @@ def dates(c: Column) -> Column:
     """Distinct ISO dates: year first, day first, and day with a month's name, in Thaana also year, month, day."""
     t = _text(c)
 
-    def parts(pattern: str, names: str) -> Column:
-        return F.arrays_zip(*[F.regexp_extract_all(t, F.lit(pattern), i).alias(n) for i, n in enumerate(names, 1)])
+    def parts(pattern: str, between: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), 0), lambda x: F.split(x, between))
 
-    iso = F.transform(parts(ISO_DATE, "ymd"), lambda p: _iso(p["y"], p["m"], p["d"]))
-    dmy = F.transform(parts(DMY_DATE, "dmy"), lambda p: _iso(p["y"], p["m"], p["d"]))
-    txt = F.transform(parts(TEXT_DATE, "dmy"), lambda p: _iso(p["y"], month_number(p["m"]).cast("string"), p["d"]))
-    named = [F.transform(parts(p, names), lambda x: _iso(x["y"], month_number(x["m"]).cast("string"), x["d"])) for p, names in ((DV_DATE, "dmy"), (DV_YEAR_FIRST, "ymd"))]
-    return F.array_distinct(F.filter(F.concat(iso, dmy, txt, *named), lambda d: d.isNotNull()))
+    iso = F.transform(parts(ISO_DATE, "[-/]"), lambda p: _iso(p[0], p[1], p[2]))
+    dmy = F.transform(parts(DMY_DATE, "[-/]"), lambda p: _iso(p[2], p[1], p[0]))
+    latin = F.array(*[F.lit(x) for x in MONTHS])
+    named = [(TEXT_DATE, 2, 0, lambda m: F.array_position(latin, F.substring(F.lower(m), 1, 3))), (DV_DATE, 2, 0, month_number), (DV_YEAR_FIRST, 0, 2, month_number)]
+    months = [F.transform(parts(x, r"\s+"), lambda p: F.struct(p[y].alias("y"), f(p[1]).cast("string").alias("m"), p[d].alias("d"))) for x, y, d, f in named]  # so that a month is looked up once
+    txt, dv, year_first = [F.transform(x, lambda p: _iso(p["y"], p["m"], p["d"])) for x in months]
+    return F.array_distinct(F.filter(F.concat(iso, dmy, txt, dv, year_first), lambda d: d.isNotNull()))
 
 
 def identifier_key(c: Column) -> Column:

@@ -275,6 +275,46 @@ def test_candidates_equal_plain_python(spark, data_dir):
     assert bare > 20
 
 
+def test_candidates_of_a_text_full_of_numbers(spark):
+    """A text is read once, not once for each of its numbers."""
+    import time
+
+    from reefglass.functions import extract as ex
+
+    n = 8_000
+    t = " ".join(f"item {i} has {i + n} left" for i in range(3000, 3000 + n)) + " since 5 May 2024, 12 kg, call 7771234"
+    docs = spark.createDataFrame([(t,)], "t string").repartition(1)
+    began = time.time()
+    c = docs.select(ex.candidates(F.col("t")).alias("c")).first().c
+    assert time.time() - began < 15
+    assert c.phones == ["7771234"] and c.dates == ["2024-05-05"] and c.units == ["12 kg"]
+    assert [m.amount for m in c.money] == [float(x) for i in range(3000, 3000 + n) for x in (i, i + n)] + [5.0]
+
+
+def test_candidates_are_found_near_digits_as_in_the_text(spark):
+    """Every neighbourhood of two words that a pattern can span, beside words that are left out, spaces of all kinds, and marks that touch."""
+    import itertools
+    import random
+
+    from reefglass.functions import extract as ex
+
+    bits = ["5", "12", "2024", "7771234", "+960", "1,234.50", "USD", "$", "Rf.", "MVR", "ރުފިޔާ", "ރ", "/-", "-/", "dollars", "kg", "V", "May", "word", "މާރިޗު", "2024-05-06", "6/7/2023", "a.b@c.org", "http://x.y/1", "\u00a0", "#"]
+    draw = random.Random(5)
+    texts = ["".join(p) for p in itertools.product(bits[:16], ("", " "), bits[:20], ("", "\n "), bits[:5])]
+    texts += ["".join(draw.choice(bits) + draw.choice(["", " ", "  ", "\n", "\t"]) for _ in range(draw.randint(0, 40))) for _ in range(1000)] + [None, "", " ", "no digit at all", " 5"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    got = docs.select("t", ex.candidates(t).alias("c"), ex.all_phones(t).alias("phones"), ex.emails(t).alias("emails"), ex.urls(t).alias("urls"), ex.units(t).alias("units"), ex.dates(t).alias("dates"), ex.marked_amounts(t).alias("marked"), F.regexp_extract_all(F.regexp_replace(t, ex._QUANTITY, " "), F.lit(ex.BARE), 1).alias("numbers"), F.concat(*[F.regexp_extract_all(t, F.lit(p), 1) for _, p in ex.MARKED]).alias("raw"))
+    bare = 0
+    for r in got.collect():
+        assert [r.c[k] for k in ("phones", "emails", "urls", "units", "dates")] == [r[k] for k in ("phones", "emails", "urls", "units", "dates")], r.t
+        no = {*(r.raw or ()), *r.phones, *(x for d in r.dates for x in d.split("-"))}
+        more = [float(x.replace(",", "")) for x in r.numbers or () if x not in no and not (len(x) == 4 and x.startswith("20"))]
+        assert [tuple(m) for m in r.c.money] == list(dict.fromkeys([*map(tuple, r.marked), *(("MVR", x) for x in more)])), r.t
+        bare += len(more)
+    assert bare > 1000
+
+
 def test_words_meet_by_their_stems(spark, tmp_path):
     """English words meet by stems, stop words are left out; rows delivered twice and reposts count once, stored or not."""
     import datetime as dt
